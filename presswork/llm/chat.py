@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.common import running_sums
+
 # markers of the format (fixed values)
 START, SEP, END, LINE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
 LOSS_ROLE = "assistant"
-_STEP = 256
 
 
 def escaped(text: Column) -> Column:
@@ -29,19 +30,6 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*+)\|", r"<$1|")
 
 
-def running_sums(sizes: Column) -> Column:
-    """The sums of all elements before each one, and of all. Two levels, so that long arrays
-    cost little more than their length."""
-    n = F.size(sizes)
-    prefix = lambda a, first: F.aggregate(a, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    zero = F.lit(0).cast("long")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP)), lambda c: F.slice(sizes, (c * _STEP + 1).cast("int"), F.lit(_STEP)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
-    firsts = prefix(totals, zero)
-    parts = F.transform(F.zip_with(chunks, F.slice(firsts, 1, F.size(chunks)), lambda c, f: F.struct(c.alias("c"), f.alias("f"))), lambda s: F.slice(prefix(s["c"], s["f"]), 1, F.size(s["c"])))
-    return F.when(n > 0, F.concat(F.flatten(parts), F.slice(firsts, -1, 1))).otherwise(F.array(zero))
-
-
 def format_chats(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss): loss is an array of (start, end).
 

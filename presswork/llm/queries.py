@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import bpe, chat, exact_topk, mih, minhash, packing, warc
+from presswork.llm import bpe, chat, exact_topk, mih, minhash, packing, pii, warc
 from presswork.llm.common import scratch_path, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_topk.largest_products(table(spark, sf_dir, "embeddings"), exact_topk.is_multiple(20), k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -50,7 +54,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mih, op3_exact_topk, op5_bpe, op6_chat, op7_minhash, op8_warc, op9_packing)
+    found = (op1_mih, op2_pii, op3_exact_topk, op5_bpe, op6_chat, op7_minhash, op8_warc, op9_packing)
     return {f.__name__: f for f in found}
 
 
