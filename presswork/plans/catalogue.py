@@ -5,11 +5,267 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from presswork.functions import scalars as S
+from presswork.operators import analytics as A
+from presswork.operators import merging as M
+from presswork.plans import proxies as P
+from presswork.sources.tables import parquet
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COUNTS = "SELECT date_trunc('month', o_orderdate)::DATE AS m, o_orderpriority AS topic_label, count(DISTINCT o_orderkey) AS articles_count FROM orders GROUP BY 1, 2"
+_MONTHLY = f"SELECT strftime(m, '%Y-%m') AS year_month, m, topic_label, articles_count, sum(articles_count) OVER (PARTITION BY m)::BIGINT AS total_articles_in_month FROM ({_COUNTS})"
+_TOPICS = f"SELECT year_month, topic_label, articles_count, round_even(articles_count / total_articles_in_month, 4) AS topic_share, total_articles_in_month FROM ({_MONTHLY})"
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    return A.topics_by_month(P.topic_facts(spark, d))
+
+
+@_register(_TOPICS)
+def topics_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return _topics(spark, d)
+
+
+@_register(f"SELECT * FROM ({_TOPICS}) QUALIFY row_number() OVER (PARTITION BY year_month ORDER BY articles_count DESC, topic_label) = 1")
+def dominant_topic(spark: SparkSession, d: str) -> DataFrame:
+    return A.dominant_topic(_topics(spark, d))
+
+
+_GRID = f"""
+WITH t AS ({_MONTHLY}),
+e AS (SELECT min(m) AS a, max(m) AS b FROM t),
+c AS (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS m FROM e),
+k AS (SELECT DISTINCT topic_label FROM t),
+n AS (SELECT m, max(total_articles_in_month) AS n FROM t GROUP BY 1),
+g AS (SELECT k.topic_label, c.m, coalesce(t.articles_count, 0) AS articles_count, coalesce(n.n, 0) AS total_articles_in_month
+      FROM k CROSS JOIN c LEFT JOIN t ON t.topic_label = k.topic_label AND t.m = c.m LEFT JOIN n ON n.m = c.m),
+s AS (SELECT *, CASE WHEN total_articles_in_month > 0 THEN articles_count / total_articles_in_month ELSE 0 END AS topic_share FROM g)
+"""
+
+
+@_register(_GRID + "SELECT topic_label, strftime(m, '%Y-%m') AS year_month, articles_count, total_articles_in_month, round_even(topic_share, 4) AS topic_share FROM s")
+def calendar_densify(spark: SparkSession, d: str) -> DataFrame:
+    return A.densify(_topics(spark, d)).select("topic_label", S.year_month(F.col("m")).alias("year_month"), "articles_count", "total_articles_in_month", F.bround("topic_share", 4).alias("topic_share"))
+
+
+def _rolling_sql(window: int) -> str:
+    w = f"(PARTITION BY topic_label ORDER BY m ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    return _GRID + f""",
+r AS (SELECT *, CASE WHEN count(*) OVER {w} >= 3 THEN avg(topic_share) OVER {w} END AS roll_mean, CASE WHEN count(*) OVER {w} >= 3 THEN stddev_samp(topic_share) OVER {w} END AS roll_std FROM s),
+z AS (SELECT *, CASE WHEN roll_std > 1e-12 AND total_articles_in_month > 0 THEN (topic_share - roll_mean) / roll_std ELSE 0 END AS z_score FROM r)
+"""
+
+
+_FIVE = "strftime(m, '%Y-%m') AS year_month, topic_label, articles_count, total_articles_in_month, round_even(topic_share, 4) AS topic_share, round_even(roll_mean, 4) AS roll_mean, round_even(roll_std, 4) AS roll_std, round_even(z_score, 3) AS z_score"
+
+
+@_register(_rolling_sql(6) + f"SELECT {_FIVE} FROM z")
+def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.rolling(A.densify(_topics(spark, d)))
+    digits = [F.bround(c, n).alias(c) for c, n in (("topic_share", 4), ("roll_mean", 4), ("roll_std", 4), ("z_score", 3))]
+    return rows.select(S.year_month(F.col("m")).alias("year_month"), "topic_label", "articles_count", "total_articles_in_month", *digits)
+
+
+def _peaks_sql(window: int, z: float) -> str:
+    return _rolling_sql(window) + f"SELECT {_FIVE} FROM z WHERE total_articles_in_month >= 5 AND z_score >= {z}"
+
+
+@_register(_peaks_sql(6, 2.5))
+def topic_peaks_default(spark: SparkSession, d: str) -> DataFrame:
+    return A.topic_peaks(_topics(spark, d))
+
+
+@_register(_peaks_sql(6, 1.5))
+def topic_peaks_w6_z15(spark: SparkSession, d: str) -> DataFrame:
+    return A.topic_peaks(_topics(spark, d), 6, 1.5)
+
+
+@_register(_peaks_sql(12, 2.0))
+def topic_peaks_w12_z20(spark: SparkSession, d: str) -> DataFrame:
+    return A.topic_peaks(_topics(spark, d), 12, 2.0)
+
+
+_MENTIONS = "SELECT l_orderkey AS article_id, upper(trim(p_type)) AS entity_type, lower(trim(p_name)) AS normalized_name, 1 - CAST(round(l_discount * 100) AS INT) / CAST(16 AS DOUBLE) AS c, o_orderdate, o_custkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _entity_sql(rows: str, group: str, rank: str) -> str:
+    return f"""
+WITH r AS ({rows}),
+p AS (SELECT {group}, entity_type, normalized_name, article_id, count(*) AS n, max(c) AS c FROM r WHERE normalized_name NOT IN ('', 'nan', 'none') GROUP BY ALL),
+f AS (SELECT {group}, entity_type, normalized_name, count(*) AS distinct_articles_count, sum(n)::BIGINT AS mentions_count, round_even(avg(c), 4) AS mean_confidence FROM p GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY distinct_articles_count DESC, mentions_count DESC, mean_confidence DESC NULLS LAST, normalized_name, entity_type) AS {rank} FROM f)
+"""
+
+
+@_register(_entity_sql(f"SELECT *, strftime(o_orderdate, '%Y-%m') AS year_month FROM ({_MENTIONS})", "year_month", "rank_in_month") + "SELECT * FROM k WHERE rank_in_month <= 50")
+def entities_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return A.entities_by_month(P.entity_facts(spark, d))
+
+
+_COUNTRIES = f"SELECT m.*, unnest(CASE WHEN c_mktsegment = 'MACHINERY' THEN [8] ELSE [c_nationkey, (c_nationkey + 7) % 25] END) AS country_id FROM ({_MENTIONS}) m JOIN customer ON o_custkey = c_custkey"
+
+
+@_register(_entity_sql(_COUNTRIES, "country_id", "rank_in_country") + "SELECT k.*, n_name AS label_en FROM k LEFT JOIN nation ON country_id = n_nationkey WHERE rank_in_country <= 50")
+def top_entities_by_country(spark: SparkSession, d: str) -> DataFrame:
+    return A.top_entities_by_country(P.entity_country_facts(spark, d), P.country(spark, d))
+
+
+@_register("SELECT p_partkey AS entity_id, p_name AS normalized_name, coalesce(n, 0) AS frequency FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def entity_frequency(spark: SparkSession, d: str) -> DataFrame:
+    entities = parquet(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("normalized_name"), F.lit(0).cast("long").alias("frequency"))
+    return M.refresh_frequency(entities, parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id")))
+
+
+_PAIRS = "SELECT coalesce(l_returnflag, 'unknown') AS language, upper(trim(o_orderstatus)) AS a, upper(trim(l_linestatus)) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_CONFUSION = f"SELECT CASE WHEN grouping(language) = 1 THEN 'ALL' ELSE language END AS language, a, b, count(*) AS count FROM ({_PAIRS}) GROUP BY GROUPING SETS ((language, a, b), (a, b))"
+
+
+@_register(_CONFUSION)
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return A.confusion(P.rater_pairs(spark, d))
+
+
+_AGREE = f"""
+WITH c AS ({_CONFUSION}),
+t AS (SELECT language, sum(count)::BIGINT AS n, sum(CASE WHEN a = b THEN count ELSE 0 END)::BIGINT AS agreement_count FROM c GROUP BY 1),
+x AS (SELECT l.language, sum(l.n * r.n)::DOUBLE AS x FROM (SELECT language, a AS k, sum(count) AS n FROM c GROUP BY 1, 2) l JOIN (SELECT language, b AS k, sum(count) AS n FROM c GROUP BY 1, 2) r ON l.language = r.language AND l.k = r.k GROUP BY 1)
+SELECT t.language, n AS total_samples, agreement_count, round_even(agreement_count / n, 4) AS accuracy,
+  round_even((agreement_count / n - coalesce(x, 0) / (n * n)) / (1 - coalesce(x, 0) / (n * n)), 4) AS cohen_kappa FROM t LEFT JOIN x ON t.language = x.language
+"""
+
+
+@_register(_AGREE)
+def agreement_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return A.agreement(A.confusion(P.rater_pairs(spark, d)))
+
+
+@_register(f"SELECT language, cohen_kappa FROM ({_AGREE})")
+def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return A.agreement(A.confusion(P.rater_pairs(spark, d))).select("language", "cohen_kappa")
+
+
+@_register("SELECT doc_id AS id FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1 AND quality IS NOT NULL)")
+def unprocessed_articles(spark: SparkSession, d: str) -> DataFrame:
+    done = parquet(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.when(F.col("toxic") != 1, F.col("quality")).alias("label"))
+    return M.unprocessed(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body")), done, "label").select("id")
+
+
+@_register("SELECT doc_id AS article_id, lang AS language, CASE WHEN l.toxic = 0 THEN l.quality END AS label FROM documents LEFT JOIN labels l USING (doc_id)")
+def upsert_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    """Labels merged into placeholders that have a language only."""
+    old = P.documents(spark, d).select(F.col("doc_id").alias("article_id"), F.col("lang").alias("language"), F.lit(None).cast("int").alias("label"))
+    new = parquet(spark, d, "labels").select(F.col("doc_id").alias("article_id"), F.lit(None).cast("string").alias("language"), F.when(F.col("toxic") == 0, F.col("quality")).alias("label"), F.lit(1).alias("seq"))
+    return M.merge_coalesce(old, new, ["article_id"], ["language", "label"], "seq")
+
+
+@_register("SELECT l_orderkey AS article_id, l_partkey AS entity_id, l_linenumber AS model_version, max(1 - l_discount) AS confidence_score FROM lineitem GROUP BY 1, 2, 3")
+def upsert_max(spark: SparkSession, d: str) -> DataFrame:
+    line = parquet(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_partkey").alias("entity_id"), F.col("l_linenumber").alias("model_version"), (1 - F.col("l_discount")).alias("confidence_score"))
+    keys = ["article_id", "entity_id", "model_version"]
+    old = line.where("confidence_score < 0.95").groupBy(*keys).agg(F.max("confidence_score").alias("confidence_score"))
+    return M.merge_max(old, line.where("confidence_score >= 0.95"), keys, "confidence_score")
+
+
+@_register("SELECT event_type, max_by(value, event_id) AS value, max_by(user_id, event_id) AS user_id FROM events GROUP BY 1")
+def upsert_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each type replaces what an earlier batch left."""
+    events = parquet(spark, d, "events").select("event_type", "value", "user_id", "event_id")
+    old = events.where("event_id % 2 = 0").groupBy("event_type").agg(F.min("value").alias("value"), F.min("user_id").alias("user_id"))
+    return M.merge_overwrite(old, events, ["event_type"], ["value", "user_id"], "event_id")
+
+
+@_register("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 2600)) AS at FROM documents) SELECT doc_id, CAST(at / 2600 AS INT) AS chunk, substr(text, at + 1, 3000) AS body FROM s")
+def char_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return P.documents(spark, d).select("doc_id", F.posexplode(S.char_chunks(F.col("text"))).alias("chunk", "body"))
+
+
+@_register("""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, unnest(CASE WHEN len(w) <= 450 THEN [0] ELSE range(0, (ceil((len(w) - 450) / 350) * 350)::BIGINT + 1, 350) END) AS at FROM w)
+SELECT doc_id, CAST(at / 350 AS INT) AS chunk, CASE WHEN len(w) <= 450 THEN text ELSE array_to_string(w[at + 1 : at + 450], ' ') END AS body FROM s
+""")
+def word_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return P.documents(spark, d).where("text is not null").select("doc_id", F.posexplode(S.word_chunks(F.col("text"))).alias("chunk", "body"))
+
+
+@_register("""
+WITH p AS (SELECT conv_id AS doc, role AS label, count(*) AS n, sum(1 / CAST(1 + turn AS DOUBLE)) AS s, min(turn) AS f FROM conversations GROUP BY 1, 2)
+SELECT doc, label, n AS votes, n / sum(n) OVER (PARTITION BY doc) AS vote_share, s / n AS mean_score FROM p
+QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, s DESC, f) = 1
+""")
+def chunk_votes(spark: SparkSession, d: str) -> DataFrame:
+    votes = parquet(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("chunk"), F.col("role").alias("label"), (1 / (1 + F.col("turn")).cast("double")).alias("score"))
+    return A.chunk_votes(votes)
+
+
+@_register("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS body FROM pages")
+def strip_tags(spark: SparkSession, d: str) -> DataFrame:
+    return parquet(spark, d, "pages").select("page_id", S.without_tags(F.col("html")).alias("body"))
+
+
+@_register("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\\s\\x{85}\\x{a0}]+', ' ', 'g')) AS body FROM pages")
+def collapse_ws(spark: SparkSession, d: str) -> DataFrame:
+    return parquet(spark, d, "pages").select("page_id", S.collapsed(S.without_tags(F.col("html"))).alias("body"))
+
+
+@_register("SELECT doc_id, CASE WHEN length(replace(text, ' ', '')) > 0 THEN length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]', '', 'g')) / length(replace(text, ' ', '')) ELSE 0 END AS ratio FROM documents")
+def arabic_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return P.documents(spark, d).select("doc_id", S.share_arabic(F.col("text")).alias("ratio"))
+
+
+@_register("SELECT lang, count(*) AS docs, sum(CASE WHEN lang IN ('ar', 'en', 'fr') THEN 0 ELSE 1 END)::BIGINT AS skipped FROM documents GROUP BY 1")
+def language_filter(spark: SparkSession, d: str) -> DataFrame:
+    valid = F.coalesce(F.col("lang").isin("ar", "en", "fr"), F.lit(False))
+    return P.documents(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.when(valid, 0).otherwise(1)).alias("skipped"))
+
+
+@_register("SELECT event_type, round_even(avg(value), 4) AS avg_ms_per_doc, round_even(sum(value) / 1000, 6) AS total_inf_time_sec, count(*) AS docs FROM events GROUP BY 1")
+def latency_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return A.mean_latency(parquet(spark, d, "events"), "event_type", "value")
+
+
+@_register("SELECT doc_id, length(trim(text)) >= 30 AND len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) >= 5 AS ready FROM documents WHERE text IS NOT NULL")
+def topic_text_gate(spark: SparkSession, d: str) -> DataFrame:
+    return P.documents(spark, d).where("text is not null").select("doc_id", S.topic_ready(F.col("text")).alias("ready"))
+
+
+@_register("SELECT c_custkey, unnest(CASE WHEN c_mktsegment = 'MACHINERY' THEN [8] ELSE [c_nationkey, (c_nationkey + 7) % 25] END)::INT AS country_id FROM customer")
+def id_list_explode(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.when(F.col("c_mktsegment") != "MACHINERY", F.concat_ws(", ", F.col("c_nationkey").cast("string"), F.lit("x"), ((F.col("c_nationkey") + 7) % 25).cast("string")))
+    return parquet(spark, d, "customer").select("c_custkey", F.explode(S.country_ids(listed, 8)).alias("country_id"))
+
+
+@_register()
+def fuzzy_entities(spark: SparkSession, d: str) -> DataFrame:
+    names = parquet(spark, d, "part").select(F.col("p_type").alias("entity_type"), F.lower("p_name").alias("normalized_name"), F.col("p_partkey").alias("seq"))
+    return M.resolve_fuzzy(names)
+
+
+@_register()
+def analytics_summary(spark: SparkSession, d: str) -> DataFrame:
+    topics = _topics(spark, d)
+    return A.summary(topics, A.topic_peaks(topics, 6, 1.5), A.entities_by_month(P.entity_facts(spark, d)), A.top_entities_by_country(P.entity_country_facts(spark, d), P.country(spark, d)), A.agreement(A.confusion(P.rater_pairs(spark, d))))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
