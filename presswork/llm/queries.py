@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm import bpe, chat, exact_topk, mih, minhash, packing, pii, warc
+from presswork.llm import bpe, chat, exact_topk, licenses, mih, minhash, packing, pii, quality, warc
 from presswork.llm.common import scratch_path, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -53,10 +57,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mih, op2_pii, op3_exact_topk, op5_bpe, op6_chat, op7_minhash, op8_warc, op9_packing)
+    found = (op1_mih, op2_pii, op3_exact_topk, op4_license, op5_bpe, op6_chat, op7_minhash, op8_warc, op9_packing, op10_quality)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license": licenses.duckdb_sql()}
