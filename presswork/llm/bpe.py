@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: So many words are remembered in each of two generations per worker, and so many pairs.
-CACHED_WORDS, STABLE_PAIRS = 400_000, 1_000_000
+CACHED_WORDS, STABLE_PAIRS = 300_000, 600_000
 #: Texts are taken in slices of about so many characters, and ids in slices of so many.
 TEXT_SLICE, ID_SLICE = 1 << 20, 1 << 18
 
@@ -155,7 +155,7 @@ class WordBpe:
             here = entry >= 0
             out[place[here]] = entry[here]
             step += 1
-            on = place + step < len(whole)
+            on = (place + step < len(whole)) & (state < len(self.goto))
             place, state = place[on], state[on]
         return out
 
@@ -175,10 +175,14 @@ class WordBpe:
                     edges.append((at, self.column[ord(t[k - 1])], to))
                 at = to
             accepts[at] = i
-        self.entry_at = np.array(accepts, np.int64)
-        self.goto = np.full((len(accepts), len(names) + 1), -1, np.int32)
         at, letter, to = np.array(edges, np.int64).T
-        self.goto[at, letter] = to
+        # states that lead on are numbered first: the others need no row in the table
+        order = np.concatenate([np.unique(at), np.setdiff1d(np.arange(len(accepts)), at)])
+        number = np.empty(len(accepts), np.int64)
+        number[order] = np.arange(len(accepts))
+        self.entry_at = np.array(accepts, np.int64)[order]
+        self.goto = np.full((len(np.unique(at)), len(names) + 1), -1, np.int32)
+        self.goto[number[at], letter] = number[to]
 
     def backtrack(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` (pieces in letters), end to end, and how many each has.

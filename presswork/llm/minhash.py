@@ -29,7 +29,7 @@ WORDS, PERCENT = 5, 85
 #: are joined pair by pair, and members of a block of longer ones.
 SKETCH, COMMON, SHORT, BLOCK = 32, 0.5, 32, 1_024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_WORD_HASHES = 500_000
+_WORD_HASHES = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,6 +75,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ids.append(_set_id(s))
                 kept.append(s[:SKETCH])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "sketch"])
+        _hashes.clear()  # workers live on; the next stage needs the memory
 
     return docs.mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
 
@@ -88,6 +89,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for at in range(0, len(texts), 200):
                 sets = [shingle_set(t, words) for t in texts[at : at + 200]]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "s"])
+        _hashes.clear()
 
     return docs.mapInArrow(run, "set_id binary, s array<long>")
 
