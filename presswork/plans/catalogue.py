@@ -190,15 +190,15 @@ def upsert_overwrite(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_overwrite(old, events, ["event_type"], ["value", "user_id"], "event_id")
 
 
-@_register("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 2600)) AS at FROM documents) SELECT doc_id, CAST(at / 2600 AS INT) AS chunk, substr(text, at + 1, 3000) AS body FROM s")
+@_register("WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 2600)) AS pos FROM documents) SELECT doc_id, CAST(pos / 2600 AS INT) AS chunk, substr(text, pos + 1, 3000) AS body FROM s")
 def char_chunks(spark: SparkSession, d: str) -> DataFrame:
     return P.documents(spark, d).select("doc_id", F.posexplode(S.char_chunks(F.col("text"))).alias("chunk", "body"))
 
 
 @_register("""
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, unnest(CASE WHEN len(w) <= 450 THEN [0] ELSE range(0, (ceil((len(w) - 450) / 350) * 350)::BIGINT + 1, 350) END) AS at FROM w)
-SELECT doc_id, CAST(at / 350 AS INT) AS chunk, CASE WHEN len(w) <= 450 THEN text ELSE array_to_string(w[at + 1 : at + 450], ' ') END AS body FROM s
+s AS (SELECT *, unnest(CASE WHEN len(w) <= 450 THEN [0] ELSE range(0, (ceil((len(w) - 450) / 350) * 350)::BIGINT + 1, 350) END) AS pos FROM w)
+SELECT doc_id, CAST(pos / 350 AS INT) AS chunk, CASE WHEN len(w) <= 450 THEN text ELSE array_to_string(w[pos + 1 : pos + 450], ' ') END AS body FROM s
 """)
 def word_chunks(spark: SparkSession, d: str) -> DataFrame:
     return P.documents(spark, d).where("text is not null").select("doc_id", F.posexplode(S.word_chunks(F.col("text"))).alias("chunk", "body"))
