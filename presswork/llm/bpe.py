@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswork.llm.common import kept, map_texts
+
 #: So many words are remembered in each of two generations per worker, and so many pairs.
 CACHED_WORDS, STABLE_PAIRS = 300_000, 600_000
 #: Texts are taken in slices of about so many characters, and ids in slices of so many.
@@ -322,6 +324,7 @@ class WordBpe:
 
 
 _loaded: dict[str, WordBpe] = {}
+kept["bpe"] = _loaded.clear
 
 
 def load(path: str) -> WordBpe:
@@ -359,7 +362,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     some = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return some.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(some, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,7 +375,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     some = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return some.mapInArrow(run, "doc_id long, ids array<int>")
+    return map_texts(some, run, "doc_id long, ids array<int>", "bpe")
 
 
 def detokenize(ids: DataFrame, path: str) -> DataFrame:
@@ -384,4 +387,4 @@ def detokenize(ids: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_texts(ids.select("doc_id", "ids"), run, "doc_id long, text string", "bpe")

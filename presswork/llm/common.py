@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,38 @@ def running_sums(sizes: Column) -> Column:
     firsts = prefix(totals, zero)
     parts = F.transform(F.zip_with(chunks, F.slice(firsts, 1, F.size(chunks)), lambda c, f: F.struct(c.alias("c"), f.alias("f"))), lambda s: F.slice(prefix(s["c"], s["f"]), 1, F.size(s["c"])))
     return F.when(n > 0, F.concat(F.flatten(parts), F.slice(firsts, -1, 1))).otherwise(F.array(zero))
+
+
+#: Rows of an Arrow batch of texts: both ends of the pipe hold whole batches, outside the JVM's heap.
+BATCH_ROWS = 1_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: What operators keep in a worker from one task to the next: module -> function that drops it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def let_go(user: str) -> None:
+    """Drops what other operators than ``user`` kept in this worker and gives freed memory back."""
+    for name, drop in kept.items():
+        if name != user:
+            drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, user: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of at most ``BATCH_ROWS`` rows.
+
+    Workers outlive tasks and stages, so each task frees what others left, before and after its work.
+    The session's batch size is lowered, never raised; it has no influence on results."""
+    if int(df.sparkSession.conf.get(_ROWS)) > BATCH_ROWS or int(df.sparkSession.conf.get(_ROWS)) <= 0:
+        df.sparkSession.conf.set(_ROWS, BATCH_ROWS)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(user)
+        yield from run(batches)
+        let_go(user)
+
+    return df.mapInArrow(task, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.bpe import text_or_empty
-from presswork.llm.common import written
+from presswork.llm.common import kept, map_texts, written
 from presswork.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -42,6 +42,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+kept["minhash"] = _hashes.clear
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -75,9 +76,9 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 ids.append(_set_id(s))
                 kept.append(s[:SKETCH])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "sketch"])
-        _hashes.clear()  # workers live on; the next stage needs the memory
+        _hashes.clear()
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id binary, sketch array<long>")
+    return map_texts(docs, run, "doc_id long, n long, set_id binary, sketch array<long>", "minhash")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -91,7 +92,7 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "s"])
         _hashes.clear()
 
-    return docs.mapInArrow(run, "set_id binary, s array<long>")
+    return map_texts(docs, run, "set_id binary, s array<long>", "minhash")
 
 
 def forest(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:

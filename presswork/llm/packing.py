@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.bpe import WordBpe, load, text_or_empty
+from presswork.llm.common import map_texts
 
 WINDOW, END_ID = 4096, 2
 #: A pool is packed when it holds so many tokens or documents.
@@ -186,4 +187,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
             yield flush()
 
     some = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return some.mapInArrow(run, SCHEMA)
+    return map_texts(some, run, SCHEMA, "bpe")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.bpe import text_or_empty
+from presswork.llm.common import map_texts
 
 #: Labelled documents for the fit (least hashes of id), lines taken from each, rounds, steps of each (few:
 #: stopping early keeps the states of neighbours from ruling the lines), step size and decay.
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers: small enough to be sent to every task
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("quality").cast("int").alias("quality"), F.col("text").cast("string").alias("text"), "doc_id")
-    rows = texts.select("quality", "text").mapInArrow(_features, "quality int, x array<double>, lengths array<long>").orderBy(F.xxhash64("x"), "quality").limit(2 * sample).collect()
+    rows = map_texts(texts.select("quality", "text"), _features, "quality int, x array<double>, lengths array<long>", "quality").orderBy(F.xxhash64("x"), "quality").limit(2 * sample).collect()
     return fit([np.array(r.x).reshape(-1, N) for r in rows], [np.array(r.lengths) for r in rows], np.array([r.quality for r in rows], np.int64))
 
 
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
     some = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scored = some.mapInArrow(run, "doc_id long, score double")
+    scored = map_texts(some, run, "doc_id long, score double", "quality")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -237,4 +238,4 @@ def keep_good(docs: DataFrame, model: Chain) -> DataFrame:
                 q = model.mean_quality(np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made]), np.cumsum(count) - count, count)
                 yield part.filter(pa.array(model.scores(q) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema).select(names)
+    return map_texts(docs, run, docs.schema, "quality").select(names)
