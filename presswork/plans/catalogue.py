@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.functions import language as L
 from presswork.functions import scalars as S
+from presswork.functions import spans as SP
 from presswork.operators import analytics as A
 from presswork.operators import merging as M
 from presswork.plans import proxies as P
@@ -195,6 +197,32 @@ def char_chunks(spark: SparkSession, d: str) -> DataFrame:
     return P.documents(spark, d).select("doc_id", F.posexplode(S.char_chunks(F.col("text"))).alias("chunk", "body"))
 
 
+@_register("""
+WITH d AS (SELECT doc_id, lower(lang) AS lang, NOT coalesce(regexp_matches(text, '[^\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]'), false) AS blank FROM documents)
+SELECT doc_id, CASE WHEN blank THEN 'unk' ELSE lang END AS lang, CASE WHEN blank THEN 0 ELSE 0.75 END::DOUBLE AS score FROM d
+WHERE blank OR lang IN ('ar', 'en', 'fr')
+""")
+def language_routing(spark: SparkSession, d: str) -> DataFrame:
+    """The table's ``lang`` stands for a model's best guess; its texts have no Arabic letters."""
+    guesses = F.array(F.struct(F.col("lang"), F.lit(0.75).alias("score")), F.struct(F.lit("arz").alias("lang"), F.lit(0.2).alias("score")))
+    routed = P.documents(spark, d).select("doc_id", L.routed(F.col("text"), guesses).alias("r")).select("doc_id", "r.lang", "r.score")
+    return routed.where(L.accepted(F.col("lang"), F.col("score"), ["ar", "en", "fr"], 0.7) | (F.col("lang") == "unk"))
+
+
+@_register("""
+WITH s AS (SELECT DISTINCT doc_id, start, "end", label, score FROM (SELECT doc_id, 0 AS start, CAST(least(length(text), 5) AS INT) AS "end", 'A' AS label, 0.5::DOUBLE AS score FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, CAST(least(length(text), 5) AS INT), CAST(least(length(text), 9) AS INT), 'A', 0.75::DOUBLE FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, min(start) AS first_at, max("end") AS end_at, max(score) AS score FROM s WHERE "end" > start GROUP BY doc_id
+""")
+def span_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two touching spans of one label at the start of each text, where it is long enough for them."""
+    ends = [F.least(F.length("text"), F.lit(n)) for n in (0, 5, 9)]
+    spans = F.array(*[F.struct(a.alias("start"), b.alias("end"), F.lit("A").alias("label"), F.lit(x).alias("score")) for a, b, x in ((ends[0], ends[1], 0.5), (ends[1], ends[2], 0.75))])
+    spans = F.filter(spans, lambda s: s["end"] > s["start"])
+    merged = P.documents(spark, d).where("text is not null").select("doc_id", F.explode(SP.merged(F.col("text"), SP.deduplicated(spans))).alias("s"))
+    return merged.select("doc_id", F.col("s.start").alias("first_at"), F.col("s.end").alias("end_at"), "s.score")
+
+
 @_register("""
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 s AS (SELECT *, unnest(CASE WHEN len(w) <= 450 THEN [0] ELSE range(0, (ceil((len(w) - 450) / 350) * 350)::BIGINT + 1, 350) END) AS pos FROM w)
