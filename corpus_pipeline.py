@@ -9,6 +9,9 @@ from presswork.llm import minhash, packing, pii, quality
 from presswork.llm.common import table, written
 from presswork.llm.queries import VOCABULARY
 
+#: Percent from which on the corpus takes documents for near copies; the query op7_minhash has its own, higher one.
+SIMILAR = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from ``labels``."""
@@ -16,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash.keep_one(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity ``SIMILAR`` or more."""
+    return minhash.keep_one(docs, percent=SIMILAR)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ forest of the links found leaves the task: as many rows as members, not pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,23 @@ from presswork.llm.common import kept, map_texts, written
 from presswork.llm.components import components
 
 WORDS, PERCENT = 5, 85
-#: Values kept of a class, the share of them that the two of a link have at least in common (the
-#: expected one is over 0.9; missing a link at the threshold has a chance of about 1e-6), the length up to which lists
+#: Values kept of a class, the chance of missing a link right at the threshold, the length up to which lists
 #: are joined pair by pair, and members of a block of longer ones.
-SKETCH, COMMON, SHORT, BLOCK = 32, 0.5, 32, 1_024
+SKETCH, MISS, SHORT, BLOCK = 32, 1e-6, 32, 1_024
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD_HASHES = 250_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def common(percent: int) -> float:
+    """The share of the sketch that the two of a link have at least in common: the largest that a link
+    right at the threshold stays below with a chance of at most ``MISS`` (85: 16 of 32, 80: 13 of 32)."""
+    p, below, k = percent / 100, 0.0, 0
+    while k < SKETCH and (below := below + comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) <= MISS:
+        k += 1
+    return k / SKETCH
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh64_digest(word)
@@ -131,11 +140,12 @@ def forest(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links between classes that connect all that the full set of links connects."""
+    least = common(percent)
     values = classes.select("set_id", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = values.join(often, "v").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("met"))
-    # a linked class shares at least COMMON of the values, so one of the rarest (1 - COMMON) and one more
-    room = F.size("sketch") - F.ceil(F.size("sketch") * COMMON) + 1 - (F.size("sketch") - F.size("met"))
+    # a linked class shares at least ``least`` of the values, so one of the rarest (1 - least) and one more
+    room = F.size("sketch") - F.ceil(F.size("sketch") * least) + 1 - (F.size("sketch") - F.size("met"))
     rare = classes.join(met, "set_id").withColumn("met", F.slice("met", 1, F.greatest(room, F.lit(0)).cast("int")))
     entries = written(rare.select("set_id", "rep", "n", "sketch", F.explode("met").alias("e")).select("set_id", "rep", "n", "sketch", "e.v", "e.c"), "entries")
 
@@ -144,7 +154,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     near = (F.col("a_set_id") < F.col("b_set_id")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     union = F.slice(F.sort_array(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
     resemblance = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch"))) / F.size(union)
-    pairs = left.join(right, "v").where(near).where(resemblance >= COMMON)
+    pairs = left.join(right, "v").where(near).where(resemblance >= least)
     pairs = written(pairs.select("a_set_id", "b_set_id", "a_rep", "b_rep", "a_n", "b_n").distinct(), "pairs")
 
     long = entries.where(F.col("c") > SHORT).select("v", "c", "set_id", "rep")
