@@ -39,10 +39,10 @@ EXTRA = {
     "phone_local": r"(?<![0-9+(-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
-#: What a text must match for a kind's pattern to be worth a search.
-_EXTRA_NEEDS = {"email_words": r"(?i)\bat\b.{1,70}\bdot\b", "phone_local": r"[0-9]{3}[ .-][0-9]{3}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}[ 0-9A-Z]", "secret": r"(?:[A-Za-z_-]*+[0-9]){4}[A-Za-z0-9_-]{4}"}
+#: What a text must match for a kind's pattern to be worth a search: every match of the pattern holds it.
+_EXTRA_NEEDS = {"email_words": r"(?i)at[\[\]() a-z0-9-]{2,69}dot", "phone_local": r"[0-9]{3}[ .-][0-9]{3}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "iban": r"[A-Z]{2}[0-9]{2}[ 0-9A-Z]", "secret": r"[A-Za-z0-9_-]{20}"}
 _CUES = {"email_words": r"mail|contact|write|reach", "phone_local": r"phone|tel|call|mobile|fax|dial", "ssn": r"ssn|social|security|insurance", "iban": r"iban|account|bank|transfer", "secret": r"key|token|secret|passw|auth|bearer|credential"}
 AROUND = 32
 
