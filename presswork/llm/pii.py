@@ -4,7 +4,7 @@ Base kinds (email, ip, card, phone) are spans of fixed patterns with fixed check
 Generators of high recall propose more spans, which may overlap each other: written-out mail addresses, phone
 numbers without a plus sign, national insurance numbers, bank accounts, keys and tokens. For each
 candidate, boosted trees weigh its format and the words around it; a candidate is kept from its
-kind's calibrated threshold on, and of overlapping ones the longest. Each kind's trees are fitted here, on
+kind's calibrated threshold on, unless another span covers it. Each kind's trees are fitted here, on
 candidates from generated sentences (a fixed seed and count), and are applied as CASE expressions.
 
 Positions are code points, ends exclusive. Whole texts are searched, in linear time: patterns start
@@ -285,13 +285,13 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", sp
 
         docs = docs.withColumn(f"_{kind}", _weighed(rank, kind, trees[kind], limits[kind]))
         added.append(f"_{kind}")
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     length = lambda s: s["end"] - s["start"]
-    # an added span gives way to a base span it meets, and to a longer (or earlier named) added one
+    within = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+    # an added span goes only if another one covers all of it, so what the spans cover together stays the same
     docs = docs.withColumn("_added", F.concat(*added))
-    free = F.filter("_added", lambda s: ~F.exists(base, lambda b: meets(s, b)))
+    free = F.filter("_added", lambda s: ~F.exists(base, lambda b: within(s, b)))
     docs = docs.withColumn("_added", free)
-    stronger = lambda o, s: meets(s, o) & ((length(o) > length(s)) | ((length(o) == length(s)) & (o["rank"] < s["rank"])))
+    stronger = lambda o, s: within(s, o) & ((length(o) > length(s)) | (o["rank"] < s["rank"]))
     docs = docs.withColumn("_added", F.filter("_added", lambda s: ~F.exists("_added", lambda o: stronger(o, s))))
     return docs.withColumn(spans, F.array_sort(F.concat(base, "_added"))).select(*names, base, spans)
 

@@ -63,3 +63,26 @@ def test_label_is_not_the_cue():
     for kind, rx in pii._CUES.items():
         shares = [[bool(re.search(f"(?i){rx}", before)) for k, _, before, _, label in made if k == kind and label == c] for c in (0, 1)]
         assert all(0.3 < sum(s) / len(s) < 0.75 for s in shares), kind
+
+
+def test_secret_around_a_card_is_redacted_whole(spark):
+    key = "ab3f9c4111111111111111d0e7f2a98b6c5d4e1f"
+    text = f'set token = "{key}" now'
+    assert ("secret", 13, 13 + len(key)) in spans_of(spark, [text])[0]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(df).first().text == 'set token = "[SECRET]" now'
+
+
+def test_chains_of_overlaps_stay_covered(spark, monkeypatch):
+    """Three spans in a chain, each stronger than the one before: nothing they cover may be lost."""
+    fixed = {"email_words": (0, 10), "phone_local": (5, 20), "ssn": (15, 40), "iban": (16, 30)}
+
+    def given(rank, kind, *_):
+        at = [fixed[kind]] if kind in fixed else []
+        spans = [F.struct(F.lit(s).cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(e).cast("long").alias("end")) for s, e in at]
+        return F.array(*spans) if spans else F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+
+    monkeypatch.setattr(pii, "_weighed", given)
+    assert spans_of(spark, ["z" * 50])[0] == [("email_words", 0, 10), ("phone_local", 5, 20), ("ssn", 15, 40)]
+    df = spark.createDataFrame([(1, "z" * 50)], "doc_id long, text string")
+    assert pii.redact(df).first().text == "[EMAIL_WORDS]" + "z" * 10
