@@ -7,7 +7,7 @@ quality, calibrated by a logistic curve.
 
 Labels are known for documents only. Training starts from lines that carry their document's label
 and then alternates: lines of bad documents get the state the model gives them (the worst line of
-each stays bad), the model is fitted again. It sees a bounded sample of labelled documents.
+each stays bad), the model is fitted again. It sees a bounded sample of labelled documents, each whole.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from presswork.llm.bpe import text_or_empty
 from presswork.llm.common import map_texts
 
-#: Labelled documents for the fit (least hashes of id), lines taken from each, rounds, steps of each (few:
+#: Labelled documents for the fit (least hashes of id; whole texts), rounds, steps of each (few:
 #: stopping early keeps the states of neighbours from ruling the lines), step size and decay.
-SAMPLE, SAMPLE_LINES, ROUNDS, STEPS, STEP, DECAY = 3_000, 200, 3, 15, 0.1, 1e-3
+SAMPLE, ROUNDS, STEPS, STEP, DECAY = 3_000, 3, 15, 0.1, 1e-3
 THRESHOLD = 0.3
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "!?", "|", "#$%&*+=~^<>{}[]\\_/@", " \t\r\x0b\x0c"]
@@ -180,8 +180,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ls = [], []
         for text in text_or_empty(batch):
             x, length = line_features(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
-            xs.append(x[:SAMPLE_LINES].ravel())
-            ls.append(length[:SAMPLE_LINES])
+            xs.append(x.ravel())
+            ls.append(length)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.float64())), pa.array(ls, pa.list_(pa.int64()))], ["quality", "x", "lengths"])
 
 
