@@ -1,9 +1,10 @@
 """BPE with word ends: a backtracking encoder and an offset-table decoder.
 
-A word is cut by the longest vocabulary entry at each position, found with one Aho-Corasick pass;
+A word is cut by the longest vocabulary entry at each position, found by walking a trie from each
+place (no failure links: the work grows with places times entry length, not with places alone);
 an entry is accepted only if the pair (previous, entry) is stable under the merge list, otherwise the
 next shorter prefix is tried and, when none is left, the previous entry is taken back. A position
-that turned out dead is marked, so each is left at most once per entry length: linear time, and the
+that turned out dead is marked, so each is left at most once per entry length, and the
 result equals the merges in rank order.
 """
 
@@ -143,7 +144,7 @@ class WordBpe:
 
     def longest(self, whole: str) -> np.ndarray:
         """The longest entry that starts at each place, or -1: one walk from every place at once
-        through the automaton's goto table."""
+        through the trie's goto table, up to the longest entry's length."""
         code = self.column[np.frombuffer(whole.encode("utf-32-le"), "<u4")]
         out = np.full(len(whole) + 1, -1, np.int64)
         place = np.arange(len(whole))
@@ -162,7 +163,7 @@ class WordBpe:
         return out
 
     def build_goto(self) -> None:
-        """The automaton over the entries: its goto table (state, letter) -> state, and what each state accepts."""
+        """The trie over the entries: its goto table (state, letter) -> state, and what each state accepts."""
         names = sorted({c for t in self.id_of for c in t})
         self.column = np.full(max(map(ord, names)) + 1, len(names), np.int32)
         self.column[[ord(c) for c in names]] = np.arange(len(names))
