@@ -7,8 +7,10 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,39 +20,60 @@ _owned: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made."""
+    Only in local mode (tests, one machine) a temporary folder stands in for an absent setting; on a
+    cluster that is an error, because each machine would write to a disk of its own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="presswork-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
-    except Exception:  # the session has ended already; its scratch folder goes with the cluster
-        pass
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_all() -> None:
+    for spark, path in _owned:
+        try:
+            _remove(spark, path)
+        except (Py4JError, AttributeError, OSError):  # the session has ended already; its scratch folder goes with the cluster
+            return
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends (or by ``discard``)."""
     path = f"{shared_dir(spark)}/presswork/{name}-{uuid.uuid4().hex}"
     if not _owned:
-        atexit.register(lambda: [_remove(*x) for x in _owned])
+        atexit.register(_remove_all)
     _owned.append((spark, path))
     return path
 
 
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        path = _path_of.pop(df)
+        _remove(df.sparkSession, path)
+        _owned[:] = [x for x in _owned if x[1] != path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +100,8 @@ def running_sums(sizes: Column) -> Column:
     return F.when(n > 0, F.concat(F.flatten(parts), F.slice(firsts, -1, 1))).otherwise(F.array(zero))
 
 
-#: Rows of an Arrow batch of texts: both ends of the pipe hold whole batches, outside the JVM's heap.
+#: Texts are handed to Python code in slices of so many rows, whatever the session's Arrow batches hold.
 BATCH_ROWS = 1_000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: What operators keep in a worker from one task to the next: module -> function that drops it.
 kept: dict[str, Callable[[], None]] = {}
@@ -97,16 +119,14 @@ def let_go(user: str) -> None:
 
 
 def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, user: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in batches of at most ``BATCH_ROWS`` rows.
+    """``df.mapInArrow(run, schema)``; ``run`` gets slices of at most ``BATCH_ROWS`` rows.
 
     Workers outlive tasks and stages, so each task frees what others left, before and after its work.
-    The session's batch size is lowered, never raised; it has no influence on results."""
-    if int(df.sparkSession.conf.get(_ROWS)) > BATCH_ROWS or int(df.sparkSession.conf.get(_ROWS)) <= 0:
-        df.sparkSession.conf.set(_ROWS, BATCH_ROWS)
+    The session's settings stay as they are."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go(user)
-        yield from run(batches)
+        yield from run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
         let_go(user)
 
     return df.mapInArrow(task, schema)

@@ -3,10 +3,13 @@
 Documents with equal shingle sets form a class first. Each class keeps the k least of its shingles'
 hashes, all from one hash function. Lists by retained value bring classes together; a class
 enters the lists of its rarest values only, as many as two classes linked would have to share one of
-(prefix filtering, by rising frequency). In short lists the union's sketch estimates the resemblance,
-and pairs above a wide margin are confirmed on full sets. Long lists (common passages, groups of
-near copies) are cut into blocks, the blocks' full sets are compared exactly, and only a spanning
-forest of the links found leaves the task: as many rows as members, not pairs.
+(prefix filtering, by rising frequency). Classes that meet in a list overlap in their retained values; the
+union's sketch estimates their resemblance, and what is above a wide margin is confirmed on full sets.
+
+Every list goes this way, in one of two layouts: pairs of short lists are rows of a join; long lists (common
+passages, groups of near copies) are cut into blocks of bounded size, whose pairs are estimated and confirmed
+within a task. There, pairs that links found before already connect are passed over, so only a spanning forest
+leaves the task: at most as many rows as members, not pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.bpe import text_or_empty
-from presswork.llm.common import kept, map_texts, written
+from presswork.llm.common import discard, kept, map_texts, written
 from presswork.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -74,7 +77,7 @@ def _set_id(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, set_id, sketch) of (doc_id, text) rows."""
+    """(doc_id, place, n, set_id, sketch) of (doc_id, text, place) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +87,10 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 n.append(len(s))
                 ids.append(_set_id(s))
                 kept.append(s[:SKETCH])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "place", "n", "set_id", "sketch"])
         _hashes.clear()
 
-    return map_texts(docs, run, "doc_id long, n long, set_id binary, sketch array<long>", "minhash")
+    return map_texts(docs, run, "doc_id long, place long, n long, set_id binary, sketch array<long>", "minhash")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -104,26 +107,48 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_texts(docs, run, "set_id binary, s array<long>", "minhash")
 
 
-def forest(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
-    """Edges of a spanning forest of the exact links among a block's members."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    everything = np.concatenate(sets)
-    column = np.unique(everything, return_inverse=True)[1]
-    owner = np.repeat(np.arange(n), sizes)
+def _overlaps(kept: list[np.ndarray]) -> np.ndarray:
+    """How many retained values any two members share, as a matrix."""
+    n = len(kept)
+    owner = np.repeat(np.arange(n), [len(k) for k in kept])
+    column = np.unique(np.concatenate(kept), return_inverse=True)[1]
     shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((n, n), np.float32)
-    width = int(column.max()) + 1 if len(column) else 0
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for at in range(0, width, 2_048):
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2_048):
         a, b = np.searchsorted(column, [at, at + 2_048])
         part = np.zeros((n, 2_048), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    linked = 100 * both >= percent * union
+        out += part @ part.T
+    return out
+
+
+_NO_VALUE = np.iinfo(np.int64).max
+
+
+def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Resemblance of the sketch ``one`` with each of ``others`` (rows, filled up with ``_NO_VALUE``): the part
+    of the union's sketch that is in both."""
+    both = np.sort(np.concatenate([others, np.broadcast_to(one, (len(others), len(one)))], axis=1), axis=1)
+    real = both != _NO_VALUE
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, axis=1)
+    return (again & (rank <= SKETCH)).sum(1) / np.minimum(rank[:, -1], SKETCH)
+
+
+def forest(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Edges of a spanning forest of the exact links among a block's members."""
+    n, least = len(ids), common(percent)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    kept = [s[:SKETCH] for s in sets]
+    sketch = np.full((n, SKETCH), _NO_VALUE)
+    for row, k in zip(sketch, kept, strict=True):
+        row[: len(k)] = k
+    overlap, held = _overlaps(kept), np.minimum(sizes, SKETCH)
+    whole, ends = np.concatenate(sets), np.cumsum(sizes)
     left, out = np.ones(n, bool), []
     for root in range(n):
         if not left[root]:
@@ -131,15 +156,27 @@ def forest(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple
         left[root], todo = False, [root]
         while todo:
             at = todo.pop()
-            new = np.flatnonzero(linked[at] & left)
-            left[new] = False
-            out += [(ids[at], ids[x]) for x in new]
-            todo += new.tolist()
+            # a part of the sketches' overlap is in the union's sketch, so this loses nothing that the estimate keeps
+            near = np.flatnonzero(left & (overlap[at] >= least * np.maximum(held, held[at])))
+            near = near[100 * np.minimum(sizes[near], sizes[at]) >= percent * np.maximum(sizes[near], sizes[at])]
+            for k in range(0, len(near), 256):
+                some = near[k : k + 256]
+                some = some[estimates(sketch[at], sketch[some]) >= least]
+                if not len(some):
+                    continue
+                values = np.concatenate([whole[ends[x] - sizes[x] : ends[x]] for x in some])
+                place = np.minimum(np.searchsorted(sets[at], values), sizes[at] - 1)
+                inter = np.add.reduceat((sets[at][place] == values).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                new = some[100 * inter >= percent * (sizes[some] + sizes[at] - inter)]
+                left[new] = False
+                out += [(ids[at], ids[x]) for x in new]
+                todo += new.tolist()
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between classes that connect all that the full set of links connects."""
+def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links between classes that connect all that the full set of links connects; and the written tables
+    that they are made from. A class's text is that of its ``first`` (doc_id, place)."""
     least = common(percent)
     values = classes.select("set_id", F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -147,21 +184,25 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     # a linked class shares at least ``least`` of the values, so one of the rarest (1 - least) and one more
     room = F.size("sketch") - F.ceil(F.size("sketch") * least) + 1 - (F.size("sketch") - F.size("met"))
     rare = classes.join(met, "set_id").withColumn("met", F.slice("met", 1, F.greatest(room, F.lit(0)).cast("int")))
-    entries = written(rare.select("set_id", "rep", "n", "sketch", F.explode("met").alias("e")).select("set_id", "rep", "n", "sketch", "e.v", "e.c"), "entries")
+    entries = written(rare.select("set_id", "first", "n", "sketch", F.explode("met").alias("e")).select("set_id", "first", "n", "sketch", "e.v", "e.c"), "entries")
 
     short = entries.where(F.col("c") <= SHORT)
-    left, right = (short.select("v", *[F.col(x).alias(f"{side}_{x}") for x in ("set_id", "rep", "n", "sketch")]) for side in "ab")
+    left, right = (short.select("v", *[F.col(x).alias(f"{side}_{x}") for x in ("set_id", "first", "n", "sketch")]) for side in "ab")
     near = (F.col("a_set_id") < F.col("b_set_id")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     union = F.slice(F.sort_array(F.array_union("a_sketch", "b_sketch")), 1, SKETCH)
     resemblance = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch"))) / F.size(union)
     pairs = left.join(right, "v").where(near).where(resemblance >= least)
-    pairs = written(pairs.select("a_set_id", "b_set_id", "a_rep", "b_rep", "a_n", "b_n").distinct(), "pairs")
-
-    long = entries.where(F.col("c") > SHORT).select("v", "c", "set_id", "rep")
-    wanted = pairs.select(F.col("a_rep").alias("doc_id")).unionByName(pairs.select(F.col("b_rep").alias("doc_id"))).unionByName(long.select(F.col("rep").alias("doc_id")))
-    wanted = written(wanted.distinct(), "wanted")
-    # the written list's size decides whether it is broadcast; a repeated id may bring other texts along: harmless
-    sets = written(full_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), words), "sets").dropDuplicates(["set_id"])
+    pairs = written(pairs.select("a_set_id", "b_set_id", "a_first", "b_first", "a_n", "b_n").distinct(), "pairs")
+
+    long = entries.where(F.col("c") > SHORT).select("v", "c", "set_id", "first")
+    wanted = pairs.select(F.col("a_first").alias("f")).unionByName(pairs.select(F.col("b_first").alias("f"))).unionByName(long.select(F.col("first").alias("f")))
+    # the written list's size decides whether it is broadcast
+    wanted = written(wanted.select("f.doc_id", "f.place").distinct(), "wanted")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["place"] == wanted["place"]), "left_semi")
+    made = written(full_sets(texts.select("doc_id", "text"), words), "sets")
+    discard(wanted)
+    sets = made.dropDuplicates(["set_id"])
     side = lambda x: sets.select(F.col("set_id").alias(f"{x}_set_id"), F.col("s").alias(f"{x}_s"))
     inter = F.size(F.array_intersect("a_s", "b_s"))
     sure = pairs.join(side("a"), "a_set_id").join(side("b"), "b_set_id").where(100 * inter >= percent * (F.col("a_n") + F.col("b_n") - inter))
@@ -177,7 +218,25 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         return pa.table([pa.array([a for a, _ in edges], pa.binary()), pa.array([b for _, b in edges], pa.binary())], names=["a", "b"])
 
     hot = dealt.groupBy("v", "i", "j").applyInArrow(found, "a binary, b binary")
-    return sure.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).unionByName(hot)
+    return sure.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).unionByName(hot), [entries, pairs, made]
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, place, n, set_id, component_id, keeper) of (doc_id, text) rows: ``place`` tells apart the texts
+    of an id, ``component_id`` is the least id of the row's group, and ``keeper`` the (doc_id, place) that stays
+    of the group, null for rows without words. Of rows with null ids one stays if the group has no other."""
+    rows = docs.withColumn("place", F.xxhash64("text"))
+    base = written(sketches(rows, words), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place"))
+    classes = base.where("n > 0").groupBy("set_id").agg(first.alias("first"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    edges, used = links(docs, classes, words, percent)
+    roots = components(edges).select(F.col("a").alias("set_id"), F.col("b").alias("root"))
+    discard(*used)
+    named = classes.select("set_id", "first").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    names = named.join(named.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("set_id", "keeper")
+    out = base.drop("sketch").join(names, "set_id", "left")
+    return out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("keeper.doc_id")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -186,27 +245,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Links are 100 * intersection >= percent * union of whole shingle sets. Null text is empty; a
     document without words is linked with nothing. Repeated ids give repeated rows; a null id is no
     name for a component: its own row has the least id of its group, is kept only if it has no
-    such, and an empty table gives no rows."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = written(sketches(rows, words), "sketches")
-    some = base.where("n > 0")
-    classes = written(some.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
-    roots = components(links(rows, classes.where("rep is not null"), words, percent)).select(F.col("a").alias("set_id"), F.col("b").alias("root"))
-    named = classes.select("set_id", "rep").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    names = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set_id", "component_id")
-    out = base.join(names, "set_id", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    such, and an empty table gives no rows. Other columns are not read."""
+    out = _grouped(_two(docs, key, text), words, percent)
     kept = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    return out.withColumn("kept", kept)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def _two(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are: of each group of near duplicates one row.
 
-def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` whose document stays: one of each group, and of rows with equal id one."""
-    found = written(near_duplicates(docs, **options), "groups")
-    gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    stay = docs.join(gone, "doc_id", "left_anti")
-    twice = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    A row is judged by its own text, never by its id alone: texts that share an id but are no near duplicates all
+    stay. The one that stays has the group's least id (null ids come last); rows with equal id and text are
+    copies of one document, of which the one that is least as JSON stays. Rows without words all stay."""
+    found = _grouped(_two(docs, key, text), words, percent)
+    mine = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
+    judged = found.where("n > 0").groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("copies"), F.first(mine != F.col("keeper")).alias("goes"))
+    # so many rows as change something: what stays as it is isn't listed
+    listed = written(judged.where("goes or copies > 1"), "judged")
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("place"))
+    same = lambda t: whole["doc_id"].eqNullSafe(t["doc_id"]) & (whole["place"] == t["place"])
+    stay = whole.join(listed, same(listed), "left_anti").select("row.*")
+    twice = listed.where("not goes")
     if twice.isEmpty():
         return stay
-    return stay.join(twice, "doc_id", "left_anti").unionByName(stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    copies = whole.join(twice, same(twice), "left_semi").groupBy("doc_id", "place").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return stay.unionByName(copies.select("row.*"))
