@@ -87,17 +87,21 @@ def sha256_hex(col: Column) -> Column:
 _STEP = 256
 
 
-def running_sums(sizes: Column) -> Column:
-    """The sums of all elements before each one, and of all. Two levels, so that long arrays
-    cost little more than their length."""
-    n = F.size(sizes)
-    prefix = lambda a, first: F.aggregate(a, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    zero = F.lit(0).cast("long")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP)), lambda c: F.slice(sizes, (c * _STEP + 1).cast("int"), F.lit(_STEP)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
-    firsts = prefix(totals, zero)
+def running(values: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` has gathered from ``first`` on before each element, and in the end. ``step`` is associative and
+    ``first`` its neutral element. Two levels, so that long arrays cost little more than their length."""
+    n = F.size(values)
+    prefix = lambda a, start: F.aggregate(a, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP)), lambda c: F.slice(values, (c * _STEP + 1).cast("int"), F.lit(_STEP)))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, first, lambda a, x: step(a, x)))
+    firsts = prefix(totals, first)
     parts = F.transform(F.zip_with(chunks, F.slice(firsts, 1, F.size(chunks)), lambda c, f: F.struct(c.alias("c"), f.alias("f"))), lambda s: F.slice(prefix(s["c"], s["f"]), 1, F.size(s["c"])))
-    return F.when(n > 0, F.concat(F.flatten(parts), F.slice(firsts, -1, 1))).otherwise(F.array(zero))
+    return F.when(n > 0, F.concat(F.flatten(parts), F.slice(firsts, -1, 1))).otherwise(F.array(first))
+
+
+def running_sums(sizes: Column) -> Column:
+    """The sums of all elements (long) before each one, and of all."""
+    return running(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 #: Texts are handed to Python code in slices of so many rows, whatever the session's Arrow batches hold.

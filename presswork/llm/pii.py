@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm.common import running_sums
+from presswork.llm.common import running, running_sums
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Patterns of the base kinds; \G lets a match begin where the last one ended.
@@ -264,8 +264,8 @@ def _weighed(rank: int, kind: str, trees: list, limit: float) -> Column:
     """The candidates of a kind that reach its threshold, as spans."""
 
     def scored(m: Column) -> Column:
-        before = F.substr(F.col("_text"), F.greatest(m["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(AROUND)).cast("int"))
-        after = F.substr(F.col("_text"), (m["end"] + 1).cast("int"), F.lit(AROUND))
+        before = F.substr(F.col("body"), F.greatest(m["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(AROUND)).cast("int"))
+        after = F.substr(F.col("body"), (m["end"] + 1).cast("int"), F.lit(AROUND))
         f = F.struct(*[c.alias(k) for k, c in features(F.lit(kind), m["value"], before, after).items()])
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), f.alias("f"))
 
@@ -273,27 +273,28 @@ def _weighed(rank: int, kind: str, trees: list, limit: float) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"]))
 
 
-def with_spans(docs: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
-    """Adds ``base`` and ``spans``, sorted arrays of (start, rank, kind, end). Null text counts as empty."""
+def _spanned(docs: DataFrame, text: str) -> DataFrame:
+    """(row, body, base, spans): each row of ``docs`` as one struct, so that no column of the caller meets a helper's
+    name; its text, null as empty; and the sorted arrays of (start, rank, kind, end).
+
+    An added span goes only if another span covers all of it, so what the spans cover together stays the same. In order
+    of start, longest first, that is so exactly if some span before it ends as late: one pass over the spans."""
     trees, limits = _model(docs.sparkSession)
-    names = docs.columns
-    docs = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    docs = with_base_spans(docs, "_text", base)
-    added = []
+    found = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    found = with_base_spans(found, "body", "base")
+    names = []
     for rank, (kind, pattern) in enumerate(EXTRA.items(), len(BASE_KINDS)):
-        docs = _search(docs, "_text", F.col("_text").rlike(_EXTRA_NEEDS[kind]), pattern, f"_{kind}")
-
-        docs = docs.withColumn(f"_{kind}", _weighed(rank, kind, trees[kind], limits[kind]))
-        added.append(f"_{kind}")
-    length = lambda s: s["end"] - s["start"]
-    within = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])
-    # an added span goes only if another one covers all of it, so what the spans cover together stays the same
-    docs = docs.withColumn("_added", F.concat(*added))
-    free = F.filter("_added", lambda s: ~F.exists(base, lambda b: within(s, b)))
-    docs = docs.withColumn("_added", free)
-    stronger = lambda o, s: within(s, o) & ((length(o) > length(s)) | (o["rank"] < s["rank"]))
-    docs = docs.withColumn("_added", F.filter("_added", lambda s: ~F.exists("_added", lambda o: stronger(o, s))))
-    return docs.withColumn(spans, F.array_sort(F.concat(base, "_added"))).select(*names, base, spans)
+        found = _search(found, "body", F.col("body").rlike(_EXTRA_NEEDS[kind]), pattern, f"_{kind}")
+        found = found.withColumn(f"_{kind}", _weighed(rank, kind, trees[kind], limits[kind]))
+        names.append(f"_{kind}")
+    longest_first = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["rank"].alias("rank"), s["kind"].alias("kind"))
+    found = found.withColumn("_all", F.array_sort(F.transform(F.concat("base", *names), longest_first)))
+    found = found.withColumn("_far", running(F.transform("_all", lambda s: -s["back"]), F.lit(0).cast("long"), F.greatest))
+    # zipped, not looked up by place: an outer column named once in a lambda would be computed for each element
+    beside = F.slice(F.zip_with("_all", "_far", lambda s, far: F.struct(s.alias("s"), far.alias("far"))), F.lit(1), F.size("_all"))
+    kept = F.filter(beside, lambda x: (x["s"]["rank"] < len(BASE_KINDS)) | (-x["s"]["back"] > x["far"]))
+    spans = F.transform(kept, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["rank"].alias("rank"), x["s"]["kind"].alias("kind"), (-x["s"]["back"]).alias("end")))
+    return found.select("row", "body", "base", F.array_sort(spans).alias("spans"))
 
 
 def written_out(spans: Column) -> Column:
@@ -304,28 +305,26 @@ def written_out(spans: Column) -> Column:
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans, one row a document.
 
-    Null and empty texts have no spans; null and repeated ids pass through; no shuffle."""
-    some = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    found = with_spans(some)
-    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(written_out(F.col("base_spans")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
+    Null and empty texts have no spans; null and repeated ids pass through; other columns are not read; an empty
+    table gives no rows; no shuffle."""
+    found = _spanned(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("row.doc_id", *map(count, BASE_KINDS), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; spans that meet are replaced as one.
-
-    Null texts stay null."""
-    names = docs.columns
-    found = with_spans(docs, text, "_base", "_spans")
-    # the furthest end before each span tells where a new stretch begins; spans of one kind are disjoint, so few meet
-    runs = F.aggregate(
-        "_spans",
-        F.array().cast("array<struct<start:long,end:long,kind:string>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"), F.element_at(acc, -1)["kind"].alias("kind"))))).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))),
-    )
-    found = found.withColumn("_runs", runs)
-    gap = lambda i: F.substr(F.col(text), (F.coalesce(F.get("_runs", i - 1)["end"], F.lit(0)) + 1).cast("int"), (F.get("_runs", i)["start"] - F.coalesce(F.get("_runs", i - 1)["end"], F.lit(0))).cast("int"))
-    parts = F.transform("_runs", lambda r, i: F.concat(gap(i), F.lit("["), F.upper(r["kind"]), F.lit("]")))
-    rest = F.substr(F.col(text), (F.element_at("_runs", -1)["end"] + 1).cast("int"))
-    out = F.when(F.size("_runs") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text))
-    return found.withColumn(text, out).select(names)
+    """``docs`` with each span of ``text`` replaced by its kind in brackets; spans that overlap are replaced as one,
+    by the kind that begins first.
+
+    Every other column stays as it is, whatever its name; columns keep their order. Null texts stay null, empty ones
+    empty; repeated rows are rows each; an empty table gives no rows; no shuffle."""
+    found = _spanned(docs, text)
+    # how far the spans before each one reach: a span that begins there or later begins a new stretch
+    found = found.withColumn("_far", running(F.transform("spans", lambda s: s["end"]), F.lit(0).cast("long"), F.greatest))
+    placed = F.slice(F.zip_with("spans", "_far", lambda s, far: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), far.alias("far"))), F.lit(1), F.size("spans"))
+    found = found.withColumn("_runs", F.filter(placed, lambda s: s["start"] >= s["far"]))
+    gap = lambda r: F.substr(F.col("body"), (r["far"] + 1).cast("int"), (r["start"] - r["far"]).cast("int"))
+    parts = F.transform("_runs", lambda r: F.concat(gap(r), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+    rest = F.substr(F.col("body"), (F.element_at("_far", -1) + 1).cast("int"))
+    clean = F.when(F.size("_runs") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col("row")[text].cast("string"))
+    return found.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from presswork.llm import pii
@@ -86,3 +87,63 @@ def test_chains_of_overlaps_stay_covered(spark, monkeypatch):
     assert spans_of(spark, ["z" * 50])[0] == [("email_words", 0, 10), ("phone_local", 5, 20), ("ssn", 15, 40)]
     df = spark.createDataFrame([(1, "z" * 50)], "doc_id long, text string")
     assert pii.redact(df).first().text == "[EMAIL_WORDS]" + "z" * 10
+
+
+def test_redaction_leaves_other_columns_alone(spark):
+    """Names that the operator uses itself are free for callers, and nothing of theirs is changed or dropped."""
+    clash = ["_text", "_m", "_at", "_email", "_base", "_spans", "_runs", "_added", "row", "body", "base", "spans", "_all", "_far", "a.b"]
+    rows = [(f"{c} a@b.c", *["keep a@b.c"] * len(clash), i) for i, c in enumerate(("x", "y", "y"))] + [(None, *[None] * len(clash), 9), ("", *[""] * len(clash), 9)]
+    schema = "text string, " + ", ".join(f"`{c}` string" for c in clash) + ", n int"
+    df = spark.createDataFrame(rows, schema)
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.orderBy("n", F.col("text").isNull()).collect()]
+    assert got[:3] == [(f"{c} [EMAIL]", *["keep a@b.c"] * len(clash), i) for i, c in enumerate(("x", "y", "y"))]
+    assert got[3:] == [("", *[""] * len(clash), 9), (None, *[None] * len(clash), 9)]
+    other = pii.redact(df.withColumnRenamed("text", "t").withColumn("text", F.lit("a@b.c")), "_m").first()
+    assert other["_m"] == "keep [EMAIL]" and other["text"] == "a@b.c" and other["t"] == "x a@b.c"
+
+
+def test_many_spans(spark):
+    """A long text with very many spans, more than one chunk of the running sums."""
+    text = " ".join(f"a{i}@b.c x 10.0.0.{i % 256}" for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(df).first().text == " ".join("[EMAIL] x [IP]" for _ in range(3000))
+
+
+def test_trees_as_columns_equal_the_trees(spark):
+    """The fitted trees as CASE expressions give what the trees give, sum and threshold, on generated candidates."""
+    trees, limits = pii._model(spark)
+    made = pii.examples()[:3000]
+    df = spark.createDataFrame(made, "kind string, value string, before string, after string, label int")
+    f = pii.features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))
+    row = F.struct(*[c.alias(k) for k, c in f.items()])
+    sums = {k: sum((pii.as_column(t, F.col("f")) for t in own), F.lit(0.0)) for k, own in trees.items()}
+    total = F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in sums.items()])
+    got = df.select("kind", "label", row.alias("f")).withColumn("s", total).collect()
+    x = np.array([[r.f[k] for k in pii.FEATURES] for r in got])
+    right = {k: [0, 0] for k in trees}
+    for kind, own in trees.items():
+        at = [i for i, r in enumerate(got) if r.kind == kind]
+        want = sum(pii.applied(t, x[at]) for t in own)
+        assert np.allclose([got[i].s for i in at], want)
+        for i, w in zip(at, want, strict=True):
+            right[kind][int((w >= limits[kind]) == bool(got[i].label))] += 1
+    assert all(good >= 0.95 * (good + bad) for bad, good in right.values()), right
+
+
+def test_trees_on_documents(spark, medium):
+    """Outside the generator: each key planted in the documents is found, and nothing else but phone numbers, which
+    the base pattern doesn't take, is added."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    added = {k: set() for k in pii.EXTRA}
+    for r in pii.find_pii(docs).collect():
+        for kind, start, end in (x.split(":") for x in r.spans.split(",") if x):
+            if kind in added:
+                added[kind].add((r.doc_id, int(start), int(end)))
+    keys = {(d, m.start(), m.end()) for d, t in texts.items() for m in re.finditer("(?<![A-Za-z0-9_-])[0-9a-f]{40}(?![A-Za-z0-9_-])", t)}
+    assert keys and added["secret"] == keys
+    phones = [texts[d][s - 3 : e] for d, s, e in added["phone_local"]]
+    assert all(re.fullmatch(r"\+1 \([0-9]{3}\) 555-[0-9]{4}", p) for p in phones), phones
+    assert not added["ssn"] | added["iban"] | added["email_words"]
