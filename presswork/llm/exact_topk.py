@@ -1,9 +1,9 @@
 """Exact top-k inner products by columnar branch and bound.
 
-A block of candidates lies dimension by dimension. Scores are accumulated a block of dimensions at a
-time, those with the most mass first; what the remaining dimensions can add is at most the product
+A block of candidates lies dimension by dimension, those with the most mass first. Scores are accumulated a block of
+dimensions at a time; what the remaining dimensions can add is at most the product
 of the remaining norms. The k-th best among some scores known in full bounds the result from below;
-candidates that can't reach it for any query at hand are dropped and the rest is compacted.
+candidates that can't reach it are dropped, for each query by itself, and the rest is compacted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.vectors import Found, search, usable
+from presswork.llm.vectors import Found, Run, search, usable
 
 DIM_BLOCK, QUERY_BATCH = 16, 16
 
@@ -29,46 +29,56 @@ def _largest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))][:k]
 
 
-def cell(k: int, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> Iterator[Found]:
-    dim = c.shape[1]
-    top = max(np.abs(q).max(), 1.0) * max(np.abs(c).max(), 1.0) * dim
-    if top >= 2.0**53:  # sums of doubles would not be exact: whole numbers of any size
-        yield from _wide(k, qid, q, cid, c)
-        return
-    order = np.argsort(-((c**2).sum(0) * (q**2).sum(0)), kind="stable")
-    c, q = c[:, order], q[:, order]
+def prepared(k: int, cid: np.ndarray, c: np.ndarray, kept: list[float] | None = None) -> Run:
+    """The columns of a block, laid out once, and the search of a batch of queries in them. ``kept`` collects
+    the share of (candidate, dimension) products that were computed, one figure a query."""
+    dim, biggest = c.shape[1], max(np.abs(c).max(), 1.0)
+    order = np.argsort(-(c**2).sum(0), kind="stable")
+    rows_of, columns = c[:, order], np.ascontiguousarray(c[:, order].T)
     blocks = [slice(a, min(a + DIM_BLOCK, dim)) for a in range(0, dim, DIM_BLOCK)]
-    columns = np.ascontiguousarray(c.T)
-    rest = lambda x: [np.sqrt((x[:, b.stop :] ** 2).sum(1)) * (1 + 1e-9) for b in blocks]
-    crest, qrest = rest(c), rest(q)
-    for at in range(0, len(q), QUERY_BATCH):
-        some = q[at : at + QUERY_BATCH]
-        own = qid[at : at + QUERY_BATCH]
-        rows, part, floor = np.arange(len(c)), np.zeros((len(some), len(c))), np.full(len(some), -np.inf)
+    rest = lambda x: [np.sqrt((x[..., b.stop :] ** 2).sum(-1)) * (1 + 1e-9) for b in blocks]
+    crest = rest(rows_of)
+
+    def one(own: int, q: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best; ``part``: the scores of the first block of dimensions."""
+        floor = -np.inf
+        n = min(4 * k + 1, len(c))
+        lead = np.argpartition(part, len(c) - n)[len(c) - n :]  # some scores in full: those that lead so far
+        lead = lead[cid[lead] != own]
+        if len(lead) >= k:
+            full = rows_of[lead] @ q
+            floor = np.partition(full, len(full) - k)[len(full) - k]
+        qrest, rows, done = rest(q), None, 0
         for b, block in enumerate(blocks):
-            here = columns[block] if len(rows) == len(c) else columns[block][:, rows]
-            part += some[:, block] @ here
-            if b == len(blocks) - 1:
-                break
-            if b == 0:  # some scores in full: those that lead so far
-                for i in range(len(some)):
-                    n = min(4 * k + 1, len(c))
-                    lead = np.argpartition(part[i], len(c) - n)[len(c) - n :]
-                    lead = lead[cid[lead] != own[i]]
-                    if len(lead) >= k:
-                        full = c[lead] @ some[i]
-                        floor[i] = np.partition(full, len(full) - k)[len(full) - k]
-            reach = part + qrest[b][at : at + QUERY_BATCH, None] * crest[b][rows]
-            alive = (reach + 0.5 >= floor[:, None]).any(0)
-            if alive.sum() < 0.9 * len(rows):
-                rows, part = rows[alive], np.ascontiguousarray(part[:, alive])
-        ids = cid[rows]
-        for i in range(len(some)):
-            other = ids != own[i]
-            scores, named = part[i][other], ids[other]
-            best = _largest(scores, named, k)
-            if len(best):
-                yield int(own[i]), named[best], np.rint(scores[best]).astype(np.int64)
+            if b:
+                part = part + q[block] @ (columns[block] if rows is None else columns[block][:, rows])
+            done += len(part) * (block.stop - block.start)
+            if block.stop < dim:
+                reach = part + qrest[b] * (crest[b] if rows is None else crest[b][rows])
+                alive = np.flatnonzero(reach + 0.5 >= floor)
+                if len(alive) < 0.9 * len(part):
+                    rows, part = alive if rows is None else rows[alive], part[alive]
+        if kept is not None:
+            kept.append(done / (len(c) * dim))
+        ids = cid if rows is None else cid[rows]
+        other = ids != own
+        scores, ids = part[other], ids[other]
+        best = _largest(scores, ids, k)
+        return ids[best], np.rint(scores[best]).astype(np.int64)
+
+    def run(qid: np.ndarray, q: np.ndarray) -> Iterator[Found]:
+        if max(np.abs(q).max(), 1.0) * biggest * dim >= 2.0**53:  # sums of doubles would not be exact: whole numbers of any size
+            yield from _wide(k, qid, q, cid, c)
+            return
+        q = q[:, order]
+        for at in range(0, len(q), QUERY_BATCH):
+            first = q[at : at + QUERY_BATCH, blocks[0]] @ columns[blocks[0]]
+            for i, part in enumerate(first, at):
+                ids, scores = one(int(qid[i]), q[i], part)
+                if len(ids):
+                    yield int(qid[i]), ids, scores
+
+    return run
 
 
 def _wide(k: int, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> Iterator[Found]:
@@ -89,10 +99,11 @@ def largest_products(vectors: DataFrame, is_query: Column, k: int = 20, scale: i
     vectors do. Ties go to the smaller id."""
     rows = usable(vectors, key, vector, zero_ok=True)
 
-    def one(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> Iterator[Found]:
-        yield from cell(k, qid, np.floor(scale * q), cid, np.floor(scale * c))
+    def block(cid: np.ndarray, c: np.ndarray) -> Run:
+        run = prepared(k, cid, np.floor(scale * c))
+        return lambda qid, q: run(qid, np.floor(scale * q))
 
-    return search(rows, is_query, k, one, "long", ascending=False)
+    return search(rows, is_query, k, block, "long", ascending=False)
 
 
 def is_multiple(of: int) -> Column:

@@ -1,31 +1,33 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 A rotation learned from a bounded sample (iterative quantisation, some rotations side by side) turns
-vectors into binary codes, cut into 16-bit substrings, each with its own table. If two codes differ
+vectors into binary codes, cut into substrings, each with its own table: 16 bits for large blocks, 8 for small
+ones, about the logarithm of the block's rows. If two codes differ
 in at most r bits, some substring differs in at most r // m: probing every table with all patterns
 of that many flipped bits therefore retrieves every code within radius r. The radius grows until
 it covers the Hamming distance at which, by the sample, a neighbour as far as the k-th one found so far lies
 with high probability; what was retrieved within it is ranked by the exact distance.
 
-The index covers every row. On directions without structure the radius comes out large and most
-rows are looked at: then the codes save float work, not probes. Recall against brute force is in
-the tests.
+The index covers every row. What it saves depends on the vectors: on directions without structure the radius
+comes out large and most rows are looked at; on vectors in groups a small share is. Both shares, and
+recall against brute force, are in the tests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswork.llm.vectors import Found, search, usable
+from presswork.llm.vectors import Found, Run, search, usable
 
 #: Rows that the rotation and the radius are learned from (smallest hashes of id), bits of a code,
-#: bits of a substring, and standard deviations that the radius keeps in reserve.
-SAMPLE, BITS, PART, RESERVE = 4_096, 128, 16, 2.3
+#: and standard deviations that the radius keeps in reserve; rows from which on a block's substrings have 16 bits.
+SAMPLE, BITS, RESERVE, WIDE_FROM = 4_096, 128, 2.3, 2_048
 
 
 def rotation(x: np.ndarray, bits: int, seed: int = 7, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -70,30 +72,40 @@ class Codes:
             self.slope, self.base, self.spread = 0.0, float(bits), 0.0
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings."""
-        return np.packbits((x - self.mean) @ self.axes >= 0, axis=1, bitorder="little").view("<u2")
+        """Codes as rows of bytes."""
+        return np.packbits((x - self.mean) @ self.axes >= 0, axis=1, bitorder="little")
 
     def radius(self, distance: float) -> float:
         return min(self.bits, max(0.0, self.base + self.slope * distance) + self.reserve * self.spread)
 
 
-_flips = [np.array([sum(1 << b for b in c) for c in combinations(range(PART), j)], np.int64) for j in range(PART + 1)]
+@cache
+def _flips(part: int, n: int) -> np.ndarray:
+    """All patterns of ``n`` bits among ``part``."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(part), n)], np.int64)
 
 
 class Index:
     """Substring tables over the codes of a block."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.parts = codes, codes.shape[1]
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(self.parts)]
-        edges = np.arange((1 << PART) + 1)
-        self.start = [np.searchsorted(codes[o, t], edges) for t, o in enumerate(self.order)]
+        self.part = 16 if len(codes) >= WIDE_FROM else 8
+        self.codes = self.cut(codes)
+        self.parts = self.codes.shape[1]
+        self.order = [np.argsort(self.codes[:, t], kind="stable") for t in range(self.parts)]
+        edges = np.arange((1 << self.part) + 1)
+        self.start = [np.searchsorted(self.codes[o, t], edges) for t, o in enumerate(self.order)]
+        self.looked_at = 0  # rows that probes have retrieved so far
+
+    def cut(self, codes: np.ndarray) -> np.ndarray:
+        """Codes as rows of substrings."""
+        return np.ascontiguousarray(codes).view(f"<u{self.part // 8}")
 
     def probe(self, code: np.ndarray, flips: int, seen: np.ndarray) -> np.ndarray:
         """Rows not seen yet with a substring that differs from the query's in exactly ``flips`` bits."""
         new = []
         for t in range(self.parts):
-            keys = _flips[flips] ^ int(code[t])
+            keys = _flips(self.part, flips) ^ int(code[t])
             a, b = self.start[t][keys], self.start[t][keys + 1]
             full = b > a
             a, n = a[full], (b - a)[full]
@@ -104,36 +116,47 @@ class Index:
             rows = rows[~seen[rows]]
             seen[rows] = True
             new.append(rows)
-        return np.concatenate(new) if new else np.zeros(0, np.int64)
+        out = np.concatenate(new) if new else np.zeros(0, np.int64)
+        self.looked_at += len(out)
+        return out
 
-
-def cell(model: Codes, k: int, qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> Iterator[Found]:
-    """The k nearest of the block ``c`` for each query, as far as the radius reaches."""
-    index = Index(model.of(c))
-    for i, code in enumerate(model.of(q)):
-        seen = cid == qid[i]
+    def nearest(self, model: Codes, k: int, code: np.ndarray, q: np.ndarray, own: np.ndarray, cid: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the k nearest, as far as the radius reaches; ``own`` marks rows left out."""
+        seen = own.copy()
         waiting, apart = np.zeros(0, np.int64), np.zeros(0, np.int64)
         best, far = np.zeros(0, np.int64), np.zeros(0)
         limit = float(model.bits)
-        for flips in range(PART + 1):
-            new = index.probe(code, flips, seen)
+        for flips in range(self.part + 1):
+            new = self.probe(code, flips, seen)
             waiting = np.concatenate([waiting, new])
-            apart = np.concatenate([apart, np.bitwise_count(index.codes[new] ^ code).sum(1, dtype=np.int64)])
-            covered = index.parts * (flips + 1) - 1  # every code within this radius has been retrieved
+            apart = np.concatenate([apart, np.bitwise_count(self.codes[new] ^ code).sum(1, dtype=np.int64)])
+            covered = self.parts * (flips + 1) - 1  # every code within this radius has been retrieved
             take = apart <= min(covered, limit)
             if take.any():
                 rows = waiting[take]
                 waiting, apart = waiting[~take], apart[~take]
                 best = np.concatenate([best, rows])
-                far = np.concatenate([far, np.sqrt(((c[rows] - q[i]) ** 2).sum(1))])
+                far = np.concatenate([far, np.sqrt(((c[rows] - q) ** 2).sum(1))])
                 kept = np.lexsort((cid[best], far))[:k]
                 best, far = best[kept], far[kept]
                 if len(best) == k:
                     limit = model.radius(far[-1])
             if covered >= limit:
                 break
-        if len(best):
-            yield int(qid[i]), cid[best], far
+        return best, far
+
+
+def prepared(model: Codes, k: int, cid: np.ndarray, c: np.ndarray) -> tuple[Run, Index]:
+    """The index of a block, built once, and the search of a batch of queries in it."""
+    index = Index(model.of(c))
+
+    def run(qid: np.ndarray, q: np.ndarray) -> Iterator[Found]:
+        for own, one, code in zip(qid, q, index.cut(model.of(q)), strict=True):
+            best, far = index.nearest(model, k, code, one, cid == own, cid, c)
+            if len(best):
+                yield int(own), cid[best], far
+
+    return run, index
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -147,8 +170,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
         fit.setdefault(len(r.v), []).append(r.v)
     models = {dim: Codes(np.array(v)) for dim, v in fit.items()}
 
-    def one(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray) -> Iterator[Found]:
+    def block(cid: np.ndarray, c: np.ndarray) -> Run:
         # a length that the sample has no row of is rare: learn from the block itself
-        yield from cell(models.get(c.shape[1]) or Codes(c[:SAMPLE]), k, qid, q, cid, c)
+        return prepared(models.get(c.shape[1]) or Codes(c[:SAMPLE]), k, cid, c)[0]
 
-    return search(rows, is_query, k, one, "double", ascending=True)
+    return search(rows, is_query, k, block, "double", ascending=True)

@@ -1,7 +1,8 @@
 """Nearest-neighbour and largest-inner-product search of a query set against all rows, in blocks.
 
-Queries and candidates are dealt to (candidate block, query block) cells of bounded size. Each cell
-is searched by one task and hands back k rows a query; a window picks the k best over all cells.
+Each candidate belongs to one block and moves once; a block is prepared once, by one task, and all queries
+stream past it in batches, so that a task holds its block and one batch. Queries are the copies: one for each block,
+and blocks grow with the table up to a bound of bytes. Each block hands back k rows a query; a window picks the k best.
 Vectors meet only vectors of their own length. Rows with the query's id are its own and left out;
 repeated ids of queries are answered once (for their smallest vector), repeated candidate rows are
 candidates each. Null ids take part as candidates of no query (they have no id to report) and are
@@ -18,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: A block holds so many bytes of doubles at most, and so many rows; small tables are cut into so many blocks.
+BLOCK_BYTES, MOST_ROWS, LEAST_ROWS, BLOCKS = 64 << 20, 65_536, 1_024, 64
+#: Queries of a batch.
+QUERY_BATCH = 1_024
 
 
 def usable(vectors: DataFrame, key: str, vector: str, zero_ok: bool) -> DataFrame:
@@ -30,41 +34,61 @@ def usable(vectors: DataFrame, key: str, vector: str, zero_ok: bool) -> DataFram
     return rows if zero_ok else rows.where(F.exists(v, lambda x: x != 0))
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, one a row."""
-    ids = table.column("id").to_numpy().astype(np.int64)
-    flat = table.column("v").combine_chunks()
-    values = (flat.flatten() if isinstance(flat, pa.ListArray | pa.LargeListArray) else pa.chunked_array([c.flatten() for c in flat.chunks]).combine_chunks()).to_numpy(zero_copy_only=False)
-    return ids, values.reshape(len(ids), -1).astype(np.float64)
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+Run = Callable[[np.ndarray, np.ndarray], Iterator[Found]]
 
 
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+def block_rows(rows: int, dim: int) -> int:
+    """Candidates of a block: so few that it fits, and that a small table has some blocks."""
+    return max(1, min(MOST_ROWS, BLOCK_BYTES // (8 * max(dim, 1)), max(LEAST_ROWS, rows // BLOCKS)))
+
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, np.ndarray, np.ndarray]]:
+    """(block, kind, ids, vectors) of the batch's rows that follow each other with equal block and kind."""
+    part, kind, dim, ids = (batch.column(i).to_numpy() for i in range(4))
+    values = batch.column(4).flatten().to_numpy()
+    begin = np.concatenate([[0], np.cumsum(dim, dtype=np.int64)])
+    cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0) | (np.diff(dim) != 0)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+        yield (int(dim[a]), int(part[a])), int(kind[a]), ids[a:b], values[begin[a] : begin[b]].reshape(b - a, -1)
 
-def search(vectors: DataFrame, is_query: Column, k: int, cell: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[Found]], score_type: str, ascending: bool) -> DataFrame:
-    """(query_id, rank, vec_id, score); ``cell`` yields (query id, ids, scores) of a cell's best."""
-    n, nq = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    cells, qcells = max(1, math.ceil(n / CANDIDATE_BLOCK)), max(1, math.ceil(nq / QUERY_BLOCK))
-    deal = lambda parts: F.pmod(F.xxhash64("id", "seq"), F.lit(parts))
-    rows, zero = vectors.withColumn("dim", F.size("v")), F.lit(0).cast("long")
+
+def search(vectors: DataFrame, is_query: Column, k: int, prepare: Callable[[np.ndarray, np.ndarray], Run], score_type: str, ascending: bool) -> DataFrame:
+    """(query_id, rank, vec_id, score). ``prepare`` takes a block's ids and vectors once and returns what searches it:
+    a function of a batch of queries (ids, vectors) that yields (query id, ids, scores) of each query's best."""
+    n, longest = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = max(1, math.ceil(n / block_rows(n, longest or 1)))
+    rows = vectors.withColumn("dim", F.size("v"))
     # repeated ids spread over the blocks: the row's place in its file takes part
-    left = rows.withColumn("seq", F.monotonically_increasing_id()).select("id", "v", "dim", deal(cells).alias("c"), F.explode(F.sequence(zero, F.lit(qcells - 1).cast("long"))).alias("q"))
-    asked = rows.where(is_query).groupBy("id", "dim").agg(F.min("v").alias("v")).withColumn("seq", F.lit(0))
-    right = asked.select("id", "v", "dim", F.explode(F.sequence(zero, F.lit(cells - 1).cast("long"))).alias("c"), deal(qcells).alias("q"))
-    arrow_score = pa.float64() if score_type == "double" else pa.int64()
-
-    def one(cands: pa.Table, queries: pa.Table) -> pa.Table:
-        q_out, v_out, s_out = [], [], []
-        if cands.num_rows and queries.num_rows:
-            for q, ids, scores in cell(*matrix(queries), *matrix(cands)):
-                q_out.append(np.full(len(ids), q, np.int64))
-                v_out.append(ids)
-                s_out.append(scores)
-        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table([cat(q_out, pa.int64()), cat(v_out, pa.int64()), cat(s_out, arrow_score)], names=["query_id", "vec_id", "score"])
-
-    keys = ("dim", "c", "q")
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one, f"query_id long, vec_id long, score {score_type}")
+    part = F.pmod(F.xxhash64("id", "seq"), F.lit(blocks)).cast("int")
+    left = rows.withColumn("seq", F.monotonically_increasing_id()).select(part.alias("part"), F.lit(0).alias("kind"), "dim", "id", "v")
+    asked = rows.where(is_query).groupBy("id", "dim").agg(F.min("v").alias("v"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(1).alias("kind"), "dim", "id", "v")
+    dealt = left.unionByName(right).repartition(blocks, "dim", "part").sortWithinPartitions("dim", "part", "kind")
+    score_kind = pa.float64() if score_type == "double" else pa.int64()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, held, run = None, [], [], None
+        for batch in batches:
+            for block, kind, names, x in _runs(batch) if batch.num_rows else ():
+                if block != here:
+                    here, ids, held, run = block, [], [], None
+                if kind == 0:
+                    ids.append(names)
+                    held.append(x)
+                    continue
+                if run is None:
+                    if not held:
+                        continue
+                    run = prepare(np.concatenate(ids), np.concatenate(held))
+                    ids, held = [], []
+                for at in range(0, len(names), QUERY_BATCH):
+                    found = list(run(names[at : at + QUERY_BATCH], x[at : at + QUERY_BATCH]))
+                    if found:
+                        q = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]), score_kind)], ["query_id", "vec_id", "score"])
+
+    best = dealt.mapInArrow(task, f"query_id long, vec_id long, score {score_type}")
     order = F.col("score").asc() if ascending else F.col("score").desc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

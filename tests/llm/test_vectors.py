@@ -32,17 +32,52 @@ def test_mih_recall_and_scores(spark, medium):
     assert hits / total >= 0.95
 
 
-def test_mih_recall_with_groups():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.standard_normal((40, 32)) * 0.1 + rng.standard_normal(32) for _ in range(50)])
-    ids = np.arange(len(x))
-    found = {q: set(n.tolist()) for q, n, _ in mih.cell(mih.Codes(x), 10, ids[::20], x[::20], ids, x)}
+def test_mih_recall_on_the_larger_table(spark):
+    """Every query of sf0.1: recall, and that every block was indexed whole."""
+    sf = "/root/testdata/sf0.1"
+    ids, x = load(spark, sf)
+    got = {}
+    for r in op1_mih(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = 0
-    for q in ids[::20]:
+    for q in np.flatnonzero(ids % 100 == 0):
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
-        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
-    assert hits >= 0.95 * 10 * len(found)
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert len(got) == (ids % 100 == 0).sum() and hits >= 0.95 * 10 * len(got)
+
+
+def grouped(rng, groups, size, dim, spread):
+    return np.concatenate([rng.standard_normal((size, dim)) * spread + rng.standard_normal(dim) for _ in range(groups)])
+
+
+def test_mih_sees_few_rows_on_grouped_vectors():
+    """Recall, and the share of rows that probing retrieves: wide substrings on a large block, narrow ones on a small."""
+    rng = np.random.default_rng(3)
+    for groups, size, most in ((500, 40, 0.1), (60, 40, 0.1), (30, 40, 0.5)):
+        x = grouped(rng, groups, size, 32, 0.05)
+        ids = np.arange(len(x))
+        run, index = mih.prepared(mih.Codes(x[rng.permutation(len(x))[: mih.SAMPLE]]), 10, ids, x)
+        assert index.part == (16 if len(x) >= mih.WIDE_FROM else 8)
+        hits, asked = 0, ids[::200]
+        for q, found, _ in run(asked, x[asked]):
+            d = ((x - x[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(set(found.tolist()) & set(np.argsort(d)[:10].tolist()))
+        assert hits >= 0.95 * 10 * len(asked)
+        assert index.looked_at / (len(x) * len(asked)) <= most
+
+
+def test_probing_retrieves_every_code_within_the_radius():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
+    codes[1:400] = codes[0] ^ np.packbits(rng.random((399, 128)) < 0.06, axis=1)
+    index = mih.Index(codes)
+    code, seen = index.cut(codes[:1])[0], np.zeros(len(codes), bool)
+    apart = np.bitwise_count(codes ^ codes[0]).sum(1)
+    for flips in range(3):
+        index.probe(code, flips, seen)
+        assert seen[apart <= index.parts * (flips + 1) - 1].all()
 
 
 def brute(ids, x, every, k):
@@ -63,10 +98,12 @@ def test_exact_topk(spark, medium):
 def test_exact_topk_prunes_right():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 48)) * np.exp(-np.arange(48) / 6)
-    ids = np.arange(3000)
+    ids, kept = np.arange(3000), []
     v = np.floor(64 * x)
-    got = {(int(q), i + 1, int(j), int(s)) for q, n, t in exact_topk.cell(20, ids[::20], v[::20], ids, v) for i, (j, s) in enumerate(zip(n, t, strict=True))}
+    run = exact_topk.prepared(20, ids, v, kept)
+    got = {(int(q), i + 1, int(j), int(s)) for q, n, t in run(ids[::20], v[::20]) for i, (j, s) in enumerate(zip(n, t, strict=True))}
     assert got == brute(ids, x, 20, 20)
+    assert np.mean(kept) < 0.6  # of the products that a scan without bounds makes
 
 
 def edge_rows(spark):
