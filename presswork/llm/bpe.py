@@ -1,11 +1,11 @@
 """BPE with word ends: a backtracking encoder and an offset-table decoder.
 
-A word is cut by the longest vocabulary entry at each position, found by walking a trie from each
-place (no failure links: the work grows with places times entry length, not with places alone);
-an entry is accepted only if the pair (previous, entry) is stable under the merge list, otherwise the
-next shorter prefix is tried and, when none is left, the previous entry is taken back. A position
+A word is cut by the longest vocabulary entry at each position. One pass of an Aho-Corasick automaton over the
+text, read backwards, finds them all: its states are the ends of entries, failure links lead to the next shorter one, so
+each letter costs one step. An entry is accepted only if the pair (previous, entry) is stable under the merge list,
+otherwise the next shorter prefix is tried and, when none is left, the previous entry is taken back. A position
 that turned out dead is marked, so each is left at most once per entry length, and the
-result equals the merges in rank order.
+result equals the merges in rank order. The decoder copies entries out of one array of bytes by a table of offsets.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from presswork.llm.common import kept, map_texts
 
 #: So many words are remembered in each of two generations per worker, and so many pairs.
 CACHED_WORDS, STABLE_PAIRS = 300_000, 600_000
+#: Parts of a text that take the automaton's steps together.
+LANES = 4_096
 #: Texts are taken in slices of about so many characters, and ids in slices of so many.
 TEXT_SLICE, ID_SLICE = 1 << 20, 1 << 18
 
@@ -42,6 +44,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+class Table:
+    """Byte strings in one array, found by an offset table."""
+
+    def __init__(self, parts: list[bytes]):
+        self.blob = np.frombuffer(b"".join([p + b" " for p in parts]), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]).astype(np.int64)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The strings with these numbers, a space between each two: copied as one gather."""
+        start = self.offsets[ids]
+        size = self.offsets[ids + 1] - start
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+        return self.blob[at].tobytes()[:-1]
+
+
 class Words(dict):
     """Word -> ids as bytes; a word not found here comes from the older generation."""
 
@@ -84,7 +102,7 @@ class WordBpe:
             self.merged[left, right] = whole
             self.halves[whole] = (left, right)
             self.rank[whole] = rank
-        self.build_goto()
+        self.build_automaton()
         size = max(own.values()) + 1
         self.width = np.zeros(size, np.int64)
         self.shorter = np.full(size, -1, np.int64)
@@ -98,12 +116,9 @@ class WordBpe:
         self.stable: dict[int, bool] = {}
         strings = {i: t for t, i in {**model["vocab"], **self.added}.items()}
         last = max(strings)
-        parts = [strings.get(i, "").encode() for i in range(last + 1)]
-        #: All entries end to end, and where each begins: the decoder's table.
-        self.blob = b"".join(parts)
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        self.bytes_of = [self.blob[a:b] for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)]
-        self.digits_of = [str(i).encode() for i in range(last + 1)]
+        #: All entries end to end, each with a space behind it, and where each begins: the decoder's table. Likewise ids.
+        self.entries = Table([strings.get(i, "").encode() for i in range(last + 1)])
+        self.numbers = Table([str(i).encode() for i in range(last + 1)])
         #: Ids of the words met lately, in two generations.
         self.words, self.older = Words(self), {}
 
@@ -143,49 +158,70 @@ class WordBpe:
         return [word[m.start() : m.end()] for m in self.pattern.finditer(shape)]
 
     def longest(self, whole: str) -> np.ndarray:
-        """The longest entry that starts at each place, or -1: one walk from every place at once
-        through the trie's goto table, up to the longest entry's length."""
-        code = self.column[np.frombuffer(whole.encode("utf-32-le"), "<u4")]
-        out = np.full(len(whole) + 1, -1, np.int64)
-        place = np.arange(len(whole))
-        state = np.zeros(len(whole), np.int32)
-        step = 0
-        while len(place):
-            state = self.goto[state, code[place + step]]
-            on = state >= 0
-            place, state = place[on], state[on]
-            entry = self.entry_at[state]
-            here = entry >= 0
-            out[place[here]] = entry[here]
-            step += 1
-            on = (place + step < len(whole)) & (state < len(self.goto))
-            place, state = place[on], state[on]
+        """The longest entry that starts at each place, or -1: the automaton's one pass, from the last letter on.
+
+        The text is cut into lanes that take their steps together. A state is settled by as many letters as the
+        longest entry has, so each lane begins that many before its own part."""
+        n = len(whole)
+        warm = self.depth - 1
+        width = max(-(-n // LANES), 4 * warm)
+        lanes = -(-n // width)
+        code = np.full(warm + lanes * width, self.other, np.int32)  # letters of no entry lead back to the root
+        code[warm : warm + n] = self.column[np.frombuffer(whole.encode("utf-32-le"), "<u4")][::-1]
+        steps = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(code, warm + width)[::width].T)
+        state = np.zeros(lanes, np.int32)
+        found = np.empty((width, lanes), np.int32)
+        flat = self.next.ravel()
+        for step in range(warm + width):
+            state = flat.take(self.row.take(state) + steps[step])
+            if step >= warm:
+                found[step - warm] = state
+        out = np.full(n + 1, -1, np.int64)
+        out[:n] = self.entry_at[found.T.ravel()[:n][::-1]]
         return out
 
-    def build_goto(self) -> None:
-        """The trie over the entries: its goto table (state, letter) -> state, and what each state accepts."""
+    def build_automaton(self) -> None:
+        """Over the entries read backwards: the next state for (row of a state, letter), the row of each state (one
+        without goto edges shares the row of its failure link), and the longest entry that ends with each state."""
         names = sorted({c for t in self.id_of for c in t})
-        self.column = np.full(max(map(ord, names)) + 1, len(names), np.int32)
+        self.other = len(names)
+        self.column = np.full(max(map(ord, names)) + 1, self.other, np.int32)
         self.column[[ord(c) for c in names]] = np.arange(len(names))
-        states, accepts, edges = {"": 0}, [-1], []
-        for t, i in sorted(self.id_of.items()):
-            at = 0
+        states: dict[str, int] = {"": 0}
+        accepts, edges = [-1], []  # by rising depth: shorter ends of an entry come first
+        for t in sorted(self.id_of, key=len):
             for k in range(1, len(t) + 1):
-                to = states.get(t[:k])
-                if to is None:
-                    to = states[t[:k]] = len(accepts)
+                if t[-k:] not in states:
+                    states[t[-k:]] = len(accepts)
                     accepts.append(-1)
-                    edges.append((at, self.column[ord(t[k - 1])], to))
-                at = to
-            accepts[at] = i
-        at, letter, to = np.array(edges, np.int64).T
-        # states that lead on are numbered first: the others need no row in the table
-        order = np.concatenate([np.unique(at), np.setdiff1d(np.arange(len(accepts)), at)])
-        number = np.empty(len(accepts), np.int64)
-        number[order] = np.arange(len(accepts))
-        self.entry_at = np.array(accepts, np.int64)[order]
-        self.goto = np.full((len(np.unique(at)), len(names) + 1), -1, np.int32)
-        self.goto[number[at], letter] = number[to]
+                    edges.append((k, states[t[len(t) - k + 1 :]], self.column[ord(t[-k])], states[t[-k:]]))
+            accepts[states[t]] = self.id_of[t]
+        depth, parent, letter, child = np.array(edges, np.int64).T
+        self.depth = int(depth.max())
+        self.entry_at = np.array(accepts, np.int64)
+        inner = np.unique(parent)
+        self.row = np.zeros(len(accepts), np.int32)
+        self.row[inner] = np.arange(len(inner))
+        self.next = np.zeros((len(inner), self.other + 1), np.int32)
+        has_row = np.zeros(len(accepts), bool)
+        has_row[inner] = True
+        link = np.zeros(len(accepts), np.int32)
+        for d in range(1, self.depth + 1):  # rows of all shorter states are complete
+            at = depth == d
+            up, by, to = parent[at], letter[at], child[at]
+            if d > 1:
+                link[to] = self.next[self.row[link[up]], by]
+            none = self.entry_at[to] < 0
+            self.entry_at[to[none]] = self.entry_at[link[to[none]]]
+            if d == 1:
+                self.next[0, by] = to
+            own = to[has_row[to]]
+            self.next[self.row[own]] = self.next[self.row[link[own]]]
+            leaf = to[~has_row[to]]
+            self.row[leaf] = self.row[link[leaf]]
+            below = depth == d + 1
+            self.next[self.row[parent[below]], letter[below]] = child[below]
+        self.row *= self.next.shape[1]  # places in the flat table
 
     def backtrack(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` (pieces in letters), end to end, and how many each has.
@@ -317,11 +353,8 @@ class WordBpe:
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_all([text])[0], "<u4")
 
-    def joined(self, ids: Iterable[int]) -> bytes:
-        return b" ".join(map(self.bytes_of.__getitem__, ids))
-
     def decode(self, ids: Iterable[int]) -> str:
-        return self.joined(ids).decode()
+        return self.entries.joined(np.asarray(ids, np.int64)).decode()
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -354,10 +387,10 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             id_sums, text_sums = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
             for k, raw in bpe.encoded(texts):
                 for at in range(0, len(raw), 4 * ID_SLICE):
-                    some = np.frombuffer(raw[at : at + 4 * ID_SLICE], "<u4").tolist()
+                    some = np.frombuffer(raw[at : at + 4 * ID_SLICE], "<u4").astype(np.int64)
                     gap = b" " if counts[k] else b""
-                    id_sums[k].update(gap + b" ".join(map(bpe.digits_of.__getitem__, some)))
-                    text_sums[k].update(gap + bpe.joined(some))
+                    id_sums[k].update(gap + bpe.numbers.joined(some))
+                    text_sums[k].update(gap + bpe.entries.joined(some))
                     counts[k] += len(some)
             id_hex, text_hex = [x.hexdigest() for x in id_sums], [x.hexdigest() for x in text_sums]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -367,7 +400,9 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and its ids, as ``array<int>``."""
+    """Per row: key and its ids, as ``array<int>``.
+
+    Null text counts as empty and has no ids; null and repeated keys pass through; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
