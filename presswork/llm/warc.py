@@ -6,8 +6,8 @@ least ``revisit_from`` bytes that with the largest id is the response, the other
 Records end with an empty line pair, which is the text writer's line separator, so
 archives come from Spark's own writer and commit protocol (gzip files of bounded size).
 
-Reader: archives are read whole (the writer bounds them), cut into records by content length;
-continuations are grouped by their origin's id, ordered by segment number, their total length
+Reader: a file comes as one value (up to 2 GB; the writer makes far smaller ones), is inflated piece by piece and
+cut into records by content length; continuations are grouped by their origin's id, ordered by segment number, their total length
 is verified, and chunked framing is decoded. A record whose segments are incomplete stays in the
 result with a null payload and its status.
 """
@@ -15,7 +15,7 @@ result with a null payload and its status.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from presswork.llm.common import written
 
-SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS = 16_384, 4_096, 1_000, 2_000
+SEGMENT, CHUNK, REVISIT_FROM, FILE_RECORDS, SALTS = 16_384, 4_096, 1_000, 2_000, 16
 #: Message and record heads (fixed values of the formats).
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,15 +32,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = REVISIT_FROM) -> DataFrame:
     """(page_id, url, payload string, n, digest, keeper): keeper is set on revisits.
 
-    Only digests and ids are shuffled to find equal payloads; the table of digests that occur more
-    than once is written, so the join broadcasts it only if its known size is below Spark's limit."""
+    Equal payloads are found among ids and digests alone; a digest that very many pages have is dealt over ``SALTS``
+    tasks. Which pages revisit which is written as a narrow table and joined to the pages by id and digest: if its
+    size is below Spark's limit it is broadcast and no payload moves, else payloads are shuffled once, spread evenly by
+    page, never gathered by digest. Null html is an empty payload; a null id is never a keeper; rows that repeat id
+    and payload are alike."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    groups = rows.where(F.col("n") >= revisit_from).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
-    groups = written(groups.where("copies > 1 and keeper is not null").drop("copies"), "warc-copies")
-    joined = rows.join(groups, ["digest", "n"], "left")
-    first = F.col("page_id") == F.col("keeper")
-    return joined.withColumn("keeper", F.when(~F.coalesce(first, F.lit(False)), F.col("keeper")))
+    long = rows.where(F.col("n") >= revisit_from).select("page_id", "digest", "n")
+    groups = long.groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null").drop("copies")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = long.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = mine.join(salted, ["digest", "n", "salt"]).where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    told = written(revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "keeper").distinct(), "warc-revisits")
+    return rows.join(told, rows["page_id"].eqNullSafe(told["id"]) & (rows["digest"] == told["of"]), "left").drop("id", "of")
 
 
 def _field(name: str, value: Column) -> Column:
@@ -94,26 +99,62 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, **names:
 _PARSED = "kind string, id string, origin string, number int, total long, page_id long, url string, digest string, length long, refers_to long, block binary"
 _FIELDS = [("WARC-Type", str), ("WARC-Record-ID", str), ("WARC-Segment-Origin-ID", str), ("WARC-Segment-Number", int), ("WARC-Segment-Total-Length", int), ("WARC-Page-ID", int), ("WARC-Target-URI", str), ("WARC-Payload-Digest", str), ("WARC-Payload-Length", int), ("WARC-Refers-To-Page-ID", int)]
 _KINDS = pa.schema([("kind", pa.string()), ("id", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("refers_to", pa.int64()), ("block", pa.binary())])
-BATCH_BYTES = 8 << 20
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Heads and blocks of an archive's records."""
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
-            at += 2
+#: Bytes of a batch of records, and of a piece that is inflated at a time.
+BATCH_BYTES, PIECE = 8 << 20, 1 << 20
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzip members (one or many) inflated piece by piece."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    one, tail, at, more = zlib.decompressobj(31), b"", 0, False
+    while more or tail or at < len(data):
+        if not tail and not more:
+            tail, at = data[at : at + PIECE], at + PIECE
+        out = one.decompress(tail, PIECE)
+        tail, more = one.unconsumed_tail, len(out) == PIECE
+        if one.eof:
+            tail, more, one = one.unused_data, False, zlib.decompressobj(31)
+            whole = True
+        else:
+            whole = False
+        if out:
+            yield out
+    if not whole:
+        raise ValueError("a gzip member is cut short")
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Heads (names in lower case) and blocks of an archive's records; holds one record at a time.
+
+    Bytes that are no record, or a record cut short, are a ValueError."""
+    held, pieces = bytearray(), iter(pieces)
+
+    def has(n: int) -> bool:
+        while len(held) < n:
+            new = next(pieces, None)
+            if new is None:
+                return False
+            held.extend(new)
+        return True
+
+    while has(1):
+        if held[:1] in b"\r\n":
+            del held[:1]
             continue
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not has(len(held) + 1):
+                raise ValueError("a record's head is cut short")
+        version, *lines = held[:end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        at = start + int(head["Content-Length"])
-        if at > len(data):
+            raise ValueError(f"no record: {version[:40]!r}")
+        head = {name.strip().lower(): value.removeprefix(" ") for name, _, value in (x.partition(":") for x in lines)}
+        size = end + 4 + int(head["content-length"])
+        if not has(size):
             raise ValueError("a record is cut short")
-        yield head, data[start:at]
+        yield head, bytes(held[end + 4 : size])
+        del held[:size]
 
 
 def unchunked(message: bytes) -> bytes:
@@ -133,25 +174,15 @@ def unchunked(message: bytes) -> bytes:
         at = end + 4 + size
 
 
-def _inflate(data: bytes) -> bytes:
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data) + one.flush())
-        data = one.unused_data
-    return b"".join(out)
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS.types, strict=True)], schema=_KINDS)
 
     for batch in batches:
         for content in batch.column(0):
-            data = content.as_buffer().to_pybytes()
             rows, held = [], 0
-            for head, block in parse(_inflate(data) if data[:2] == b"\x1f\x8b" else data):
-                rows.append([None if (v := head.get(name)) is None else kind(v) for name, kind in _FIELDS] + [block])
+            for head, block in parse(inflated(content.as_buffer().to_pybytes())):
+                rows.append([None if (v := head.get(name.lower())) is None else kind(v) for name, kind in _FIELDS] + [block])
                 held += len(block)
                 if held >= BATCH_BYTES:
                     yield made(rows)
@@ -162,13 +193,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("block")
-        blocks = [None if b is None else unchunked(b) for b in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(blocks, pa.binary())], [*(n for n in batch.schema.names if n != "block"), "payload"])
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        blocks, status = columns.pop("block").to_pylist(), columns["status"].to_pylist()
+        for k, kind in enumerate(columns["kind"].to_pylist()):
+            if kind == "response" and blocks[k] is not None:
+                try:
+                    blocks[k] = unchunked(blocks[k])
+                except ValueError:
+                    blocks[k], status[k] = None, "broken"
+        columns |= {"status": pa.array(status, pa.string()), "payload": pa.array(blocks, pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, digest, length, refers_to, status, payload), one row a record."""
+    """(page_id, url, record_type, digest, length, refers_to, status, payload), one row a record.
+
+    status is whole, reassembled, incomplete (segments are missing or don't sum up to the stated length) or broken
+    (the chunked framing of a response is wrong); the payload of the last two is null, as is that of revisits. Records
+    of other kinds come with their block as it is, fields that a head lacks are null, a folder of empty files gives
+    no rows; a file that is no archive is an error. Files may be gzip, one member for all or for each record."""
     files = spark.read.format("binaryFile").load(path).select("content")
     cut = files.mapInArrow(_cut, _PARSED)
     keep = ["page_id", "url", "kind", "digest", "length", "refers_to", "status", "block"]

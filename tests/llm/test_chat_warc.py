@@ -1,8 +1,10 @@
 """Chat formatting and WARC archives against plain Python."""
 
+import gzip
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from presswork.llm import chat, warc
@@ -91,3 +93,35 @@ def test_lost_segment_is_reported(spark):
     texts.write.option("lineSep", "\r\n\r\n").text(path)
     row = warc.read_archives(spark, path).first()
     assert (row.status, row.payload, row.page_id) == ("incomplete", None, 1)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A gzip member for each record, other kinds and spellings of fields; broken framing; what is no archive."""
+    head = lambda kind, block, **more: ("WARC/1.0\r\nwarc-type:" + kind + "\r\n" + "".join(f"{k}: {v}\r\n" for k, v in more.items()) + f"content-length:{len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    good = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=1\r\nabc\r\n0\r\n\r\n"
+    plain = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 3_000_000
+    broken = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc\r\n0\r\n\r\n"
+    records = [head("warcinfo", b"a: b\r\n\r\nc"), head("response", good), head("response", plain), head("response", broken), head("request", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[1:2]))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted(((r.record_type, r.status, None if r.payload is None else bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()), key=str)
+    want = [("warcinfo", "whole", b"a: b\r\n\r\nc"), ("response", "whole", b"abc"), ("response", "whole", b"abc"), ("response", "whole", b"z" * 3_000_000), ("response", "broken", None), ("request", "whole", b"")]
+    assert got == sorted(want, key=str)
+    for bad in (b"<html>", records[1][:-30], gzip.compress(records[2])[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflated(bad)))
+
+
+def test_payloads_are_not_gathered_by_digest(spark):
+    """Where the table of revisits is too large to be broadcast, pages move by id and digest, not by digest alone."""
+    df = spark.createDataFrame([(i, "u", "x" * 2000) for i in range(50)], "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.plan_records(df)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.where("keeper = 49").count() == 49
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("page_id") > 2 and "hashpartitioning(coalesce(page_id" in text
