@@ -10,13 +10,33 @@ YEARS, TOPIC_MIN_CHARS, TOPIC_MIN_WORDS = (1900, 2100), 30, 5
 CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_WORDS, WORD_OVERLAP = 3000, 400, 450, 100
 
 
-def month_start(when: Column, year: Column | None = None, month: Column | None = None) -> Column:
-    """The first day of the month of ``when``; without a date, of a plausible year and month; or null."""
-    parsed = F.to_date(F.date_trunc("month", F.try_to_timestamp(when.cast("string"))))
+def moment(when: Column, kind: str = "string") -> Column:
+    """``when`` as a timestamp, null where it is none. ``kind``: the column's type; dates and timestamps aren't parsed."""
+    return when.cast("timestamp") if kind in ("date", "timestamp", "timestamp_ntz") else F.try_to_timestamp(when.cast("string"))
+
+
+def _stated(year: Column | None, month: Column | None) -> Column:
+    """The first day of a plausible year and month, else null."""
     if year is None or month is None:
-        return parsed
-    fits = month.between(1, 12) & year.between(*YEARS)
-    return F.coalesce(parsed, F.when(fits, F.make_date(year, month, F.lit(1))))
+        return F.lit(None).cast("date")
+    y, m = (c.cast("string").try_cast("double").cast("int") for c in (year, month))
+    return F.when(m.between(1, 12) & y.between(*YEARS), F.make_date(y, m, F.lit(1)))
+
+
+def month_start(when: Column, year: Column | None = None, month: Column | None = None, kind: str = "string") -> Column:
+    """The first day of the month of ``when``; without a date, of a plausible year and month; or null."""
+    return F.coalesce(F.to_date(F.date_trunc("month", moment(when, kind))), _stated(year, month))
+
+
+def effective_date(when: Column, year: Column | None = None, month: Column | None = None, kind: str = "string") -> Column:
+    """``when`` itself as a timestamp; without a date, the first day of a plausible year and month; or null."""
+    return F.coalesce(moment(when, kind), _stated(year, month).cast("timestamp"))
+
+
+def number_or_zero(value: Column, kind: str) -> Column:
+    """``value`` as a number of type ``kind``; 0 for null, NaN and what is no number."""
+    x = value.cast("string").try_cast("double")
+    return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0)).cast(kind)
 
 
 def year_month(day: Column) -> Column:
@@ -37,15 +57,20 @@ def without_tags(text: Column) -> Column:
 
 
 def without_links(text: Column) -> Column:
-    out = F.regexp_replace(text, r"(?i)https?://\S+", "")
-    return F.regexp_replace(F.regexp_replace(out, r"(?i)www\.\S+", ""), r"\S+@\S+", "")
+    """Links, what is left of broken ones, and mail addresses removed, each for a space."""
+    out = F.regexp_replace(text, r"(?i)https?://\S+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)www\.\S+", " "), r"(?i)(?:https?|htt)\S+", " ")
+    return without_addresses(out)
+
+
+def without_addresses(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\S+@\S+", " ")
 
 
 def share_arabic(text: Column) -> Column:
-    """Letters of the Arabic blocks over all characters but spaces; 0 for nothing."""
-    size = F.length(F.replace(text, F.lit(" "), F.lit("")))
-    own = F.length(F.regexp_replace(text, "[^؀-ۿݐ-ݿ]", ""))
-    return F.when(size > 0, own / size).otherwise(0.0)
+    """Letters of the Arabic blocks over all characters but spaces; 0 for an empty or null text."""
+    letters, solid = F.length(F.regexp_replace(text, r"[^\u0600-\u06FF\u0750-\u077F]", "")), F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.coalesce(F.when(solid > 0, letters / solid), F.lit(0.0))
 
 
 def country_ids(listed: Column, default: int | None = None) -> Column:
@@ -63,13 +88,12 @@ def char_chunks(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVER
 
 
 def word_chunks(text: Column, size: int = CHUNK_WORDS, overlap: int = WORD_OVERLAP) -> Column:
-    """The text itself up to ``size`` words, else word windows."""
+    """The text itself up to ``size`` words, else word windows; one starts at each stride, up to the last word."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    n, stride = F.size(words), size - overlap
-    # a window starts only while the one before hasn't reached the end
-    starts = F.sequence(F.lit(0), F.greatest((F.ceil((n - size) / stride) * stride).cast("int"), F.lit(0)), F.lit(stride))
+    n = F.size(words)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
     return F.when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
 
 
@@ -86,3 +110,23 @@ def predicted_label(response: Column, one_word: bool) -> Column:
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole).otherwise(0.0)
+
+
+def _beyond(x: Column, times: float, whole: Column) -> Column:
+    """``x * times - whole`` with the right sign, 0 only if it is exactly 0: ``x`` is split into halves of 26 bits,
+    whose products with a small factor are exact."""
+    far = x * F.lit(134217729.0)
+    high = far - (far - x)
+    return (high * F.lit(times) - whole) + (x - high) * F.lit(times)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A figure below 1,000,000 in size with so many decimals (one at least), rounded by its exact binary value, ties to even."""
+    unit = float(10**digits)
+    v = F.abs(x.cast("double"))
+    guess = F.floor(v * F.lit(unit)).cast("double")
+    low = F.when(_beyond(v, unit, guess) < 0, guess - 1).otherwise(guess)
+    side = _beyond(v, 2 * unit, 2 * low + 1)
+    units = (low + F.when((side > 0) | ((side == 0) & (low % 2 == 1)), 1.0).otherwise(0.0)).cast("long")
+    text = F.format_string(f"%d.%0{digits}d", F.floor(units / F.lit(unit)).cast("long"), units % F.lit(10**digits))
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)

@@ -1 +1 @@
-"""See the README."""
+"""Incremental runs."""
