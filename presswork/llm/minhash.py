@@ -196,10 +196,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tupl
 
     long = entries.where(F.col("c") > SHORT).select("v", "c", "set_id", "first")
     wanted = pairs.select(F.col("a_first").alias("f")).unionByName(pairs.select(F.col("b_first").alias("f"))).unionByName(long.select(F.col("first").alias("f")))
-    # the written list's size decides whether it is broadcast
-    wanted = written(wanted.select("f.doc_id", "f.place").distinct(), "wanted")
+    # the written list's size decides whether it is broadcast, so it holds little: a text's hash only where it has no id;
+    # a repeated id may bring other texts along: harmless
+    nameless = lambda t: F.when(t["doc_id"].isNull(), t["place"]).otherwise(0)
+    wanted = written(wanted.select("f.doc_id", nameless(F.col("f")).alias("place")).distinct(), "wanted")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["place"] == wanted["place"]), "left_semi")
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (nameless(texts) == wanted["place"]), "left_semi")
     made = written(full_sets(texts.select("doc_id", "text"), words), "sets")
     discard(wanted)
     sets = made.dropDuplicates(["set_id"])
@@ -263,14 +265,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     copies of one document, of which the one that is least as JSON stays. Rows without words all stay."""
     found = _grouped(_two(docs, key, text), words, percent)
     mine = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")
-    judged = found.where("n > 0").groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("copies"), F.first(mine != F.col("keeper")).alias("goes"))
-    # so many rows as change something: what stays as it is isn't listed
-    listed = written(judged.where("goes or copies > 1"), "judged")
+    goes = (F.col("n") > 0) & (mine != F.col("keeper"))
+    judged = written(found.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("copies"), F.first(F.coalesce(goes, F.lit(False))).alias("goes"), F.first(F.col("n") > 0).alias("solid")), "judged")
+    ids = judged.groupBy("doc_id").agg((F.sum("copies") == 1).alias("once"), F.first("goes").alias("goes"))
+    # an id that stands for one row needs no more than itself to be listed
+    gone = written(ids.where("once and goes and doc_id is not null").select("doc_id"), "gone")
+    several = ids.where("not once or doc_id is null").select(F.col("doc_id").alias("id"))
+    odd = judged.where("solid and (goes or copies > 1)")
+    odd = written(odd.join(several, odd["doc_id"].eqNullSafe(several["id"]), "left_semi").select("doc_id", "place", "goes"), "odd")
     whole = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("place"))
-    same = lambda t: whole["doc_id"].eqNullSafe(t["doc_id"]) & (whole["place"] == t["place"])
-    stay = whole.join(listed, same(listed), "left_anti").select("row.*")
-    twice = listed.where("not goes")
-    if twice.isEmpty():
-        return stay
-    copies = whole.join(twice, same(twice), "left_semi").groupBy("doc_id", "place").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return stay.unionByName(copies.select("row.*"))
+    stay = whole.join(gone, "doc_id", "left_anti")
+    if odd.isEmpty():
+        return stay.select("row.*")
+    same = lambda t: stay["doc_id"].eqNullSafe(t["doc_id"]) & (stay["place"] == t["place"])
+    copies = stay.join(odd.where("not goes"), same(odd), "left_semi").groupBy("doc_id", "place").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return stay.join(odd, same(odd), "left_anti").select("row.*").unionByName(copies.select("row.*"))
