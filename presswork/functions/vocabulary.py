@@ -12,6 +12,8 @@ TOPICS = {
     "en": ["Politics", "Economy", "Security", "Energy", "Conflict", "Elections", "Justice", "Health", "Weather", "Sports", "Culture", "Education", "Technology", "Environment", "Diplomacy", "Religion", "Migration", "General"],
 }
 FALLBACK_TOPIC = "General"
+# The sentence that a zero-shot model completes with each topic.
+TOPIC_SENTENCES = {"ar": "هذا المقال الإخباري يتحدث عن {}.", "fr": "Cet article de presse concerne {}.", "en": "This news article is about {}."}
 
 # Words that speak for a negative text, words that open a question, and the limits of a short text.
 NEGATIVE_CUES = {

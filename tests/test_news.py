@@ -239,3 +239,27 @@ def test_reports(spark, tmp_path):
     assert [(r.id, r.country_id, r.distinct_articles_count, r.mentions_count, r.mean_confidence) for r in top] == [(1, 1, 1, 2, 0.75), (2, 2, 1, 2, 0.75), (3, 8, 1, 1, None)]
     text = (tmp_path / "csv" / "analytics_summary.csv").read_text("utf-8-sig")
     assert "2020-01 -> 2020-02" in text and "Country ID 8" in text and "Rank #1 in One (1 articles, 2 mentions, conf: 0.750)" in text
+
+
+class Classifier:
+    def __init__(self, lang):
+        self.inner = scoring.ZeroShotTopic(lang, lambda texts, names, sentence: [(names[9], 0.5) if "{}" in sentence and len(names) == 18 else None for _ in texts])
+
+    def __call__(self, texts):
+        return self.inner(texts)
+
+
+class Persons:
+    def __init__(self, lang):
+        pass
+
+    def __call__(self, texts):
+        return [[(t.index("Jo"), t.index("Jo") + 2, "person name", 0.9), (0, 1, "person name", 0.9), (0, 4, "date or time expression", 0.5)] if "Jo" in t else [] for t in texts]
+
+
+def test_zero_shot_models(spark):
+    df = spark.createDataFrame([(1, "fr", "un texte de presse assez long pour avoir un thème")], "doc int, lang string, t string")
+    assert scoring.topics(df, Classifier, "t").first().label == "Sport"
+    long = spark.createDataFrame([(1, "en", "a " * 500 + "Jo and so on " + "b " * 300 + "Jo"), (2, "en", "nobody"), (3, "en", None)], "doc int, lang string, t string")
+    got = sorted((r.doc, r.start, r.label, r.text) for r in scoring.zero_shot_found(long, Persons, "t").collect())
+    assert got[0] == (1, 1000, "PER", "Jo") and {g[3] for g in got} == {"Jo"}
