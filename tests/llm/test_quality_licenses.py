@@ -93,3 +93,20 @@ def test_op4_like_duckdb(spark, medium):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{medium}/documents.parquet'")
     want = sorted(con.execute(licenses.duckdb_sql()).fetchall())
     assert want and sorted(tuple(r) for r in op4_license(spark, medium).collect()) == want
+
+
+def test_whole_licences_are_found(spark):
+    """A file that is a licence, wrapped, with a copyright line and paragraphs; and notices that differ in one word."""
+    import textwrap
+
+    whole = {name: texts[-1] for name, texts in licenses.TEMPLATES.items() if len(licenses.bigrams_of(texts[-1])) > 60}
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense"} <= set(whole)
+    files = {name: "Copyright (c) 2020 Some Body\n\n" + textwrap.fill(text, 72) for name, text in whole.items()}
+    files |= {"LGPL-3.0": licenses.TEMPLATES["LGPL-3.0"][0], "AGPL-3.0": licenses.TEMPLATES["AGPL-3.0"][0], "GPL-3.0": licenses.TEMPLATES["GPL-3.0"][1]}
+    names = list(files)
+    df = spark.createDataFrame([(i, files[n]) for i, n in enumerate(names)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(df).collect():
+        if r.unit in ("text", "paragraph") or "\n" not in files[names[r.doc_id]]:
+            got.setdefault(names[r.doc_id], set()).add(r.license)
+    assert got == {n: {n} for n in names}
