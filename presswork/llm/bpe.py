@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from presswork.llm.common import kept, map_texts
 
 #: So many words are remembered in each of two generations per worker, and so many pairs.
-CACHED_WORDS, STABLE_PAIRS = 300_000, 600_000
+CACHED_WORDS, STABLE_PAIRS = 200_000, 400_000
 #: Parts of a text that take the automaton's steps together.
 LANES = 4_096
 #: Texts are taken in slices of about so many characters, and ids in slices of so many.
@@ -338,7 +338,7 @@ class WordBpe:
             for special, part in self.slices(text):
                 held.append((k, special, self.split(part)))
                 size += len(part)
-                if size >= TEXT_SLICE * 3:
+                if size >= TEXT_SLICE:
                     yield from flush()
                     size = 0
         yield from flush()
