@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A block holds so many bytes of doubles at most, and so many rows; small tables are cut into so many blocks.
-BLOCK_BYTES, MOST_ROWS, LEAST_ROWS, BLOCKS = 64 << 20, 65_536, 1_024, 64
+#: Most bytes of doubles in a block, most rows, rows that a block has at least where they fit, and the number of blocks
+#: that a table is cut into from there on. Each query is looked up in each block: small blocks cost more than they spread.
+BLOCK_BYTES, MOST_ROWS, LEAST_ROWS, BLOCKS = 64 << 20, 65_536, 16_384, 64
 #: Queries of a batch.
 QUERY_BATCH = 1_024
 
@@ -39,7 +40,7 @@ Run = Callable[[np.ndarray, np.ndarray], Iterator[Found]]
 
 
 def block_rows(rows: int, dim: int) -> int:
-    """Candidates of a block: so few that it fits, and that a small table has some blocks."""
+    """Candidates of a block: few enough to fit, and for a large table to have ``BLOCKS`` blocks."""
     return max(1, min(MOST_ROWS, BLOCK_BYTES // (8 * max(dim, 1)), max(LEAST_ROWS, rows // BLOCKS)))
 
 
