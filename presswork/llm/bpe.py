@@ -6,14 +6,17 @@ each letter costs one step. An entry is accepted only if the pair (previous, ent
 otherwise the next shorter prefix is tried and, when none is left, the previous entry is taken back. A position
 that turned out dead is marked, so each is left at most once per entry length, and the
 result equals the merges in rank order. The decoder copies entries out of one array of bytes by a table of offsets.
+All words not met lately go through each step together, as arrays; the ids of the others are gathered from one array.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 
 from presswork.llm.common import kept, map_texts
 
-#: So many words are remembered in each of two generations per worker, and so many pairs.
-CACHED_WORDS, STABLE_PAIRS = 200_000, 400_000
+#: So many words are remembered per worker before all are forgotten, and so many places there are for pairs (a power of two).
+CACHED_WORDS, STABLE_PAIRS = 150_000, 1 << 19
 #: Parts of a text that take the automaton's steps together.
 LANES = 4_096
 #: Texts are taken in slices of about so many characters, and ids in slices of so many.
@@ -34,6 +37,8 @@ TEXT_SLICE, ID_SLICE = 1 << 20, 1 << 18
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WHITE = regex.compile(f"[{_SPACE}]")
 _SPLIT = regex.compile(f"[^{_SPACE}]+")
+#: The vocabulary's pattern of pieces, which ``WordBpe.spelled`` follows.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = ""  # stands for the vocabulary's word-end suffix while a word is matched
 
 
@@ -44,6 +49,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parts of ``pool`` that begin at ``start``, end to end."""
+    ends = np.cumsum(size)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
 class Table:
     """Byte strings in one array, found by an offset table."""
 
@@ -54,25 +65,20 @@ class Table:
     def joined(self, ids: np.ndarray) -> bytes:
         """The strings with these numbers, a space between each two: copied as one gather."""
         start = self.offsets[ids]
-        size = self.offsets[ids + 1] - start
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
-        return self.blob[at].tobytes()[:-1]
-
-
-class Words(dict):
-    """Word -> ids as bytes; a word not found here comes from the older generation."""
+        return _gathered(self.blob, start, self.offsets[ids + 1] - start).tobytes()[:-1]
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.bpe.older.get(word)
-        if ids is None:
-            self.bpe.learn({word})
-            return self.bpe.words[word]
-        self[word] = ids
-        return ids
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for letters, 2 for digits, 3 for the line feed, else 0. Code points that this Unicode
+    version doesn't know are neither letters nor digits."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for at in range(0, len(out), 1 << 16):
+        shape = "".join(["$" if unicodedata.category(c) == "Cn" else c for c in map(chr, range(at, at + (1 << 16)))])
+        for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+            for m in regex.finditer(pattern, shape):
+                out[at + m.start() : at + m.end()] = kind
+    out[ord("\n")] = 3
+    return out
 
 
 class WordBpe:
@@ -88,86 +94,102 @@ class WordBpe:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         own = {t: i for t, i in model["vocab"].items() if t not in self.added}
         short = lambda t: t[: -len(suffix)] + _END if t.endswith(suffix) else t
-        self.id_of = {short(t): i for t, i in own.items()}
-        self.string_of = {i: t for t, i in self.id_of.items()}
-        # pair -> merged entry, entry -> its two halves, and the order in which merges apply
-        self.merged: dict[tuple[int, int], int] = {}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.rank: dict[int, int] = {}
+        id_of = {short(t): i for t, i in own.items()}
+        size = max(own.values()) + 1
+        # the order in which merges apply (by their results), the two halves of each result, and pairs with their order
+        self.rank, self.halves = np.full(size, -1, np.int64), np.zeros((2, size), np.int64)
+        pairs = np.zeros(len(model["merges"]), np.int64)
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            left, right, whole = self.id_of[short(a)], self.id_of[short(b)], self.id_of[short(a + b)]
-            if whole in self.rank:
+            left, right, whole = id_of[short(a)], id_of[short(b)], id_of[short(a + b)]
+            if self.rank[whole] >= 0:
                 raise ValueError("an entry with two merges is not supported")
-            self.merged[left, right] = whole
-            self.halves[whole] = (left, right)
+            pairs[rank] = left << 20 | right
+            self.halves[:, whole] = left, right
             self.rank[whole] = rank
-        self.build_automaton()
-        size = max(own.values()) + 1
+        self.pair_rank = np.argsort(pairs)
+        self.pairs = pairs[self.pair_rank]
+        self.build_automaton(id_of)
         self.width = np.zeros(size, np.int64)
         self.shorter = np.full(size, -1, np.int64)
-        for t, i in self.id_of.items():
+        for t, i in id_of.items():
             self.width[i] = len(t)
-            self.shorter[i] = next((self.id_of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.id_of), -1)
-        self.letters = _byte_letters()
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.shorter[i] = next((id_of[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in id_of), -1)
+        #: Columns of the bytes of words; a line feed (no byte of a word) stands for the word end.
+        self.byte_column = self.column[[ord(c) for c in _byte_letters()]]
+        self.end_column = self.byte_column[ord("\n")] = self.column[ord(_END)]
+        self.kinds = _kinds()
+        if spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != _PIECES:
+            raise ValueError("an unknown pattern of pieces")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.special_marks = [s[:2] for s in self.added]
-        self.stable: dict[int, bool] = {}
+        #: Places by a hash of the pair: twice the pair, and one more where it is stable.
+        self.stable = np.full(STABLE_PAIRS, -1, np.int64)
         strings = {i: t for t, i in {**model["vocab"], **self.added}.items()}
         last = max(strings)
         #: All entries end to end, each with a space behind it, and where each begins: the decoder's table. Likewise ids.
         self.entries = Table([strings.get(i, "").encode() for i in range(last + 1)])
         self.numbers = Table([str(i).encode() for i in range(last + 1)])
-        #: Ids of the words met lately, in two generations.
-        self.words, self.older = Words(self), {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words met so far: their numbers, the ids of all end to end, and where each word's begin."""
+        self.words: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def fits(self, left: int, right: int) -> bool:
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging by rank leaves ``left`` and ``right`` side by side: take both apart, last
         merge first, and see that no merge across the border would have come before those undone."""
-        rank, halves, merged = self.rank, self.halves, self.merged
-        bound, ok = len(rank) + 1, True
-        while True:
-            across = merged.get((left, right))
-            if across is not None and rank[across] < bound:
-                ok = False
-                break
-            a, b = rank.get(left, -1), rank.get(right, -1)
-            if a < 0 and b < 0:
-                break
-            if a > b:  # at equal place the left part merges first, so a right part undone lets ties through
-                bound, left = a, halves[left][1]
-            else:
-                bound, right = b + 1, halves[right][0]
+        ok, rest, none = np.ones(len(left), bool), np.arange(len(left)), len(self.pairs) + 1
+        bound = np.full(len(left), none)
+        while len(rest):
+            pair = left << 20 | right
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            bad = np.where(self.pairs[at] == pair, self.pair_rank[at], none) < bound
+            ok[rest[bad]] = False
+            a, b = self.rank[left], self.rank[right]
+            on = ~bad & ((a >= 0) | (b >= 0))
+            rest, left, right, a, b = rest[on], left[on], right[on], a[on], b[on]
+            first = a > b  # at equal place the left part merges first, so a right part undone lets ties through
+            bound = np.where(first, a, b + 1)
+            left, right = np.where(first, self.halves[1][left], left), np.where(first, right, self.halves[0][right])
         return ok
 
-    def letters_of(self, piece: str) -> str:
-        """A piece as the vocabulary spells it: its UTF-8 bytes as letters, then the word end."""
-        if piece.isascii() and piece.isprintable():  # these bytes are their own letters
-            return piece + _END
-        return "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]) + _END
-
-    def pieces_of(self, word: str) -> list[str]:
-        """A normalised run without white space, cut by the vocabulary's pattern."""
-        if word.isalpha():
-            return [word]
-        if word[-1] in ".,;:!?|" and word[:-1].isalpha() and word.isascii():
-            return [word[:-1], word[-1]]
-        # code points that this Unicode version doesn't know are neither letters nor digits
-        shape = word if word.isascii() else "".join(["$" if unicodedata.category(c) == "Cn" else c for c in word])
-        return [word[m.start() : m.end()] for m in self.pattern.finditer(shape)]
-
-    def longest(self, whole: str) -> np.ndarray:
+    def spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised runs without white space, cut as the vocabulary's pattern ``_PIECES`` does: the columns of
+        all pieces' bytes, each piece with a word end behind it, and where each word ends."""
+        text = "\n".join(words) + "\n"
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kinds[points]
+        begins = np.ones(len(kind), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        mark = np.flatnonzero(points == ord("'"))
+        mark = mark[begins[mark]]  # within a run of signs it is one of them
+        if len(mark):
+            one, two = points[mark + 1], points[np.minimum(mark + 2, len(points) - 1)]
+            size = np.isin(one, [ord(c) for c in "stmd"]).astype(np.int64)
+            for a, b in ("re", "ve", "ll"):
+                size[(one == ord(a)) & (two == ord(b))] = 2
+            mark, size = mark[size > 0], size[size > 0]
+            begins[mark + 1], begins[mark + 1 + size] = False, True
+        inner = np.flatnonzero(begins[1:] & (kind[1:] != 3) & (kind[:-1] != 3)) + 1
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) > len(points):
+            inner = np.flatnonzero(raw & 0xC0 != 0x80)[inner]
+        last = np.flatnonzero(raw == ord("\n"))
+        return np.insert(self.byte_column[raw], inner, self.end_column), last + np.searchsorted(inner, last) + 1
+
+    def longest(self, whole: np.ndarray) -> np.ndarray:
         """The longest entry that starts at each place, or -1: the automaton's one pass, from the last letter on.
 
-        The text is cut into lanes that take their steps together. A state is settled by as many letters as the
+        The letters (columns) are cut into lanes that take their steps together. A state is settled by as many letters as the
         longest entry has, so each lane begins that many before its own part."""
         n = len(whole)
         warm = self.depth - 1
         width = max(-(-n // LANES), 4 * warm)
         lanes = -(-n // width)
         code = np.full(warm + lanes * width, self.other, np.int32)  # letters of no entry lead back to the root
-        code[warm : warm + n] = self.column[np.frombuffer(whole.encode("utf-32-le"), "<u4")][::-1]
+        code[warm : warm + n] = whole[::-1]
         steps = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(code, warm + width)[::width].T)
         state = np.zeros(lanes, np.int32)
         found = np.empty((width, lanes), np.int32)
@@ -180,22 +202,22 @@ class WordBpe:
         out[:n] = self.entry_at[found.T.ravel()[:n][::-1]]
         return out
 
-    def build_automaton(self) -> None:
+    def build_automaton(self, id_of: dict[str, int]) -> None:
         """Over the entries read backwards: the next state for (row of a state, letter), the row of each state (one
         without goto edges shares the row of its failure link), and the longest entry that ends with each state."""
-        names = sorted({c for t in self.id_of for c in t})
+        names = sorted({c for t in id_of for c in t})
         self.other = len(names)
         self.column = np.full(max(map(ord, names)) + 1, self.other, np.int32)
         self.column[[ord(c) for c in names]] = np.arange(len(names))
         states: dict[str, int] = {"": 0}
         accepts, edges = [-1], []  # by rising depth: shorter ends of an entry come first
-        for t in sorted(self.id_of, key=len):
+        for t in sorted(id_of, key=len):
             for k in range(1, len(t) + 1):
                 if t[-k:] not in states:
                     states[t[-k:]] = len(accepts)
                     accepts.append(-1)
                     edges.append((k, states[t[len(t) - k + 1 :]], self.column[ord(t[-k])], states[t[-k:]]))
-            accepts[states[t]] = self.id_of[t]
+            accepts[states[t]] = id_of[t]
         depth, parent, letter, child = np.array(edges, np.int64).T
         self.depth = int(depth.max())
         self.entry_at = np.array(accepts, np.int64)
@@ -223,20 +245,19 @@ class WordBpe:
             self.next[self.row[parent[below]], letter[below]] = child[below]
         self.row *= self.next.shape[1]  # places in the flat table
 
-    def backtrack(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all ``texts`` (pieces in letters), end to end, and how many each has.
+    def backtrack(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in ``whole`` (columns, each piece closed by the word end), end to end, and where each id's entry starts.
 
-        All texts take one step at a time together: try the entry in hand; if it doesn't fit behind
+        All pieces take one step at a time together: try the entry in hand; if it doesn't fit behind
         the previous entry, or ends where all ways on have failed, try its next shorter prefix;
         without one, mark the place as failed and take the previous entry back in hand."""
-        whole = "".join(texts)
         longest = self.longest(whole)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        first = ends - np.diff(ends, prepend=0)
+        ends = np.flatnonzero(whole == self.end_column) + 1
+        first = np.concatenate([[0], ends[:-1]])
         alive = np.ones(len(whole) + 1, bool)
         chosen = np.full(len(whole) + 1, -1, np.int64)  # the entry that starts here, if taken
         before = np.full(len(whole) + 1, -1, np.int64)  # where the entry before this place starts
-        at, hand, row = first.copy(), longest[first], np.arange(len(texts))
+        at, hand, row = first.copy(), longest[first], np.arange(len(ends))
         while len(row):
             none = hand < 0
             if none.any():
@@ -266,33 +287,31 @@ class WordBpe:
             more = at > low
             at, low = at[more], low[more]
         places = np.flatnonzero(kept)
-        return chosen[places].astype("<u4"), np.diff(np.searchsorted(places, ends), prepend=0)
-
-    def fit(self, left: np.ndarray, right: np.ndarray) -> list[bool]:
-        """The pair table, filled as pairs turn up."""
-        pairs = (left << 20 | right).tolist()
-        got = list(map(self.stable.get, pairs))
-        if None in got:
-            if len(self.stable) > STABLE_PAIRS:
-                self.stable.clear()
-            for k, x in enumerate(got):
-                if x is None:
-                    pair = pairs[k]
-                    got[k] = self.stable[pair] = self.fits(pair >> 20, pair & (1 << 20) - 1)
-        return got
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't remembered, all in one go."""
-        new = [w for w in words if w not in self.words and w not in self.older]
-        cut = [self.pieces_of(w) for w in new]
-        pieces = list({p for c in cut for p in c})
-        if not pieces:
+        return chosen[places].astype("<u4"), places
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pair table, filled as pairs turn up; a pair takes the place of an earlier one with the same hash."""
+        pair = left << 20 | right
+        at = (pair * 0x9E3779B1 >> 15) & (len(self.stable) - 1)
+        held = self.stable[at]
+        new = np.flatnonzero(held >> 1 != pair)
+        if len(new):
+            asked, back = np.unique(pair[new], return_inverse=True)
+            held[new] = (asked << 1 | self.fits(asked >> 20, asked & (1 << 20) - 1))[back]
+            self.stable[at[new]] = held[new]
+        return (held & 1).astype(bool)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes words that aren't remembered, all in one go."""
+        new = list(words)
+        if not new:
             return
-        ids, counts = self.backtrack([self.letters_of(p) for p in pieces])
-        raw, to = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-        own = {p: raw[a:b] for p, a, b in zip(pieces, [0, *to[:-1]], to, strict=True)}
-        for w, c in zip(new, cut, strict=True):
-            self.words[w] = own[c[0]] if len(c) == 1 else b"".join([own[p] for p in c])
+        whole, ends = self.spelled(new)
+        ids, places = self.backtrack(whole)
+        at = len(self.words)
+        self.words.update(zip(new, range(at, at + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.searchsorted(places, ends)])
+        self.ids = np.concatenate([self.ids, ids])
 
     def split(self, text: str) -> list[str]:
         """The normal form (composed, lower case letter by letter: no final sigma), cut at white space."""
@@ -324,14 +343,17 @@ class WordBpe:
 
         def flush() -> Iterator[tuple[int, bytes]]:
             if len(self.words) > CACHED_WORDS:
-                self.older, self.words = self.words, Words(self)
-            known = [list(map(self.words.get, words)) for _, _, words in held]
-            self.learn({w for (_, _, words), ids in zip(held, known, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None})
-            for (k, special, words), ids in zip(held, known, strict=True):
-                if special >= 0:
-                    yield k, np.array([special], "<u4").tobytes()
-                else:
-                    yield k, b"".join(map(self.words.__getitem__, words) if None in ids else ids)
+                self.forget()
+            words = list(chain.from_iterable([x for _, _, x in held]))
+            self.learn(set(words).difference(self.words))
+            word = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            counts = self.starts[word + 1] - self.starts[word]
+            ids = _gathered(self.ids, self.starts[word], counts)
+            ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(x) for _, _, x in held])]
+            low = 0
+            for (k, special, _), high in zip(held, ends.tolist(), strict=True):
+                yield k, np.array([special], "<u4").tobytes() if special >= 0 else ids[low:high].tobytes()
+                low = high
             held.clear()
 
         for k, text in enumerate(texts):
@@ -341,7 +363,8 @@ class WordBpe:
                 if size >= TEXT_SLICE:
                     yield from flush()
                     size = 0
-        yield from flush()
+        if held:
+            yield from flush()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes."""

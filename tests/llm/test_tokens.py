@@ -124,3 +124,27 @@ def test_best_fill_is_the_best():
         taken = packing.best_fill(counts, room)
         assert all(n <= counts[k] for k, n in taken.items())
         assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= room)
+
+
+def test_marks_and_unknown_letters_inside_words(own, library):
+    """Contractions begin only where a run of signs begins; digits stand alone; letters of no script known here are signs."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("'''strvemldx1½.!é |") for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    texts += ["'", "''", "'s", "''s", "'s's", "1's", ".'s", "x're'll", "l'l", "'l", "\U000e0fff\U000e0fffx", "ab"]
+    for text, raw, ref in zip(texts, own.encode_all(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == ref.ids, text
+
+
+def test_new_words_take_little_memory():
+    """What a worker keeps and needs for a million words, each of them new, beside its vocabulary."""
+    import tracemalloc
+
+    fresh = bpe.WordBpe(VOCABULARY)
+    rng = random.Random(4)
+    letters = "etaoinshrdluéè"
+    texts = (" ".join("".join(rng.choices(letters, k=rng.randint(6, 12))) for _ in range(500)) for _ in range(2_000))
+    tracemalloc.start()
+    n = sum(len(raw) for _, raw in fresh.encoded(texts))
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n > 4_000_000 and kept < 40e6 and peak < 130e6, (n, kept, peak)
