@@ -148,3 +148,22 @@ def test_new_words_take_little_memory():
     kept, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert n > 4_000_000 and kept < 40e6 and peak < 130e6, (n, kept, peak)
+
+
+def test_new_words_are_packed_quickly():
+    """CPU time for texts of new words, in units of a plain sum's time on the same machine."""
+    import time
+
+    def unit():
+        began = time.thread_time()
+        sum(range(50_000))
+        return time.thread_time() - began
+
+    fresh = bpe.WordBpe(VOCABULARY)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("etaoinshrdluéè", k=rng.randint(6, 12))) for _ in range(500)) for _ in range(400)]
+    before = [unit() for _ in range(200)]
+    began = time.thread_time()
+    n = sum(len(raw) for raw in packing._whole(fresh, texts))
+    took = time.thread_time() - began
+    assert n > 4_000_000 and took / np.median(before + [unit() for _ in range(200)]) < 1_300
