@@ -3,11 +3,15 @@
 Units are the lines of a text, its paragraphs of several lines, and the whole text. A unit and a template with u and t distinct
 bigrams have a coefficient of at most 2 * min(u, t) / (u + t), so a template is compared only with
 units whose size lies between t * d / (2 - d) and t * (2 - d) / d for the threshold d; units outside
-all bounds are dropped before their bigrams are made (a unit has at most one bigram fewer than words).
+all bounds are dropped before their bigrams are made (a unit has at most one bigram fewer than words). A match shares at least
+t * d / (2 - d) bigrams, so for each template there are words of which a match has one at least: texts, then units, without
+any such word are dropped before they are cut into words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,29 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def telling_words(sets: list[list[str]], threshold: float) -> list[str]:
+    """Words of which each unit that matches any of the templates (bigrams) has at least one: for each template,
+    the bigrams without these words are too few for a match. Words of five letters and more first, as they are rarer elsewhere;
+    no words if the threshold lets any unit through."""
+    chosen: set[str] = set()
+    low = threshold / (2 - threshold)
+    for bigrams in sorted(sets, key=len):
+        rest = [b.split(" ") for b in bigrams if not chosen.intersection(b.split(" "))]
+        while len(rest) >= low * len(bigrams) - 1e-9:
+            if not rest:
+                return []
+            count = Counter(w for b in rest for w in b)
+            word = max(count, key=lambda w: (len(w) >= 5, count[w], len(w), w))
+            chosen.add(word)
+            rest = [b for b in rest if word not in b]
+    return sorted(chosen)
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """Whether ``text`` has one of ``words`` among its ``words_of``."""
+    return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])") if words else F.lit(True)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
@@ -64,12 +91,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sets = [(name, b) for name, texts in TEMPLATES.items() for b in map(bigrams_of, texts)]
     least = min(len(b) for _, b in sets) * low
-    some = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    telling = telling_words([b for _, b in sets], threshold)
+    some = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(has_word(F.col("text"), telling))
     named = lambda kind, parts: F.transform(parts, lambda t, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("place"), t.alias("t")))
     lines, paragraphs = F.split("text", "\n", -1), F.split("text", "\n[ \t\r]*\n", -1)
     several = F.filter(named("paragraph", paragraphs), lambda p: F.contains(p["t"], F.lit("\n")))
     whole = F.when(F.size(paragraphs) > 1, named("text", F.array("text"))).otherwise(F.filter(several, lambda _: F.lit(False)))
-    units = some.select("doc_id", F.explode(F.concat(named("line", lines), several, whole)).alias("u"))
+    units = some.select("doc_id", F.explode(F.concat(named("line", lines), several, whole)).alias("u")).where(has_word(F.col("u.t"), telling))
     units = units.select("doc_id", "u.unit", "u.place", words_of(F.col("u.t")).alias("w")).where(F.size("w") - 1 >= least)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1))))
     units = units.withColumn("g", grams).withColumn("size", F.size("g").cast("long")).drop("w")

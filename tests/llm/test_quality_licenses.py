@@ -110,3 +110,28 @@ def test_whole_licences_are_found(spark):
         if r.unit in ("text", "paragraph") or "\n" not in files[names[r.doc_id]]:
             got.setdefault(names[r.doc_id], set()).add(r.license)
     assert got == {n: {n} for n in names}
+
+
+def test_texts_without_telling_words_cannot_match(spark):
+    """The words that let a text through: few of them, none missing; texts with just enough of a template are still found."""
+    import random
+    import re
+
+    sets = [licenses.bigrams_of(t) for texts in licenses.TEMPLATES.values() for t in texts]
+    for threshold in (0.5, 0.8, 0.95):
+        telling = set(licenses.telling_words(sets, threshold))
+        assert 0 < len(telling) < 200
+        for b in sets:
+            assert sum(not telling & set(x.split()) for x in b) < threshold / (2 - threshold) * len(b)
+    assert licenses.telling_words(sets, 0.0) == []
+    assert not {"the", "and", "or", "of"} & set(licenses.telling_words(sets, 0.8))
+    rng = random.Random(7)
+    texts = []
+    for t in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        words = re.findall("[A-Za-z0-9]+", t)
+        for share in (0.05, 0.1, 0.15, 0.2):
+            kept = [w for w in words if rng.random() > share]
+            texts.append(rng.choice([" ", "_", "\n", "\u212a"]).join(kept).upper() + rng.choice(["", "\n\nof the and\nor", "\u0130"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(df).collect())
+    assert len(got) > 50 and got == sorted((k, *u) for k, t in enumerate(texts) for u in scan(t))
